@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm import bpe_codec, mixing, token_count
+from pulsefeat.llm import bpe_codec, minhash, mixing, quality, token_count
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,10 +22,19 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.document_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op5_token_counts)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op9_minhash_near_dedup)}
 
 ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL}

@@ -1,0 +1,8 @@
+import pytest
+
+from pulsefeat.session import local_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session(4, 4)
