@@ -7,6 +7,9 @@ is written to the shared folder, and neither nodes nor edges come to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def dealt_blocks(rows: DataFrame, group: str, size: str, item: str, block: int) -> DataFrame:
+    """``rows`` with ``task``, ``own`` and ``cross``. A group of up to ``block`` rows is one task; a
+    larger one is dealt over blocks by a hash of ``item``, and each pair of blocks (and each block by
+    itself) is a task. ``own`` is the row's block; ``cross`` marks tasks of two different blocks."""
+    parts = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), F.col(item)), parts).cast("int")
+    with_own = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pair = F.struct(F.least("own", "other"), F.greatest("own", "other"))
+    return with_own.withColumn("task", F.xxhash64(group, pair)).withColumn("cross", F.col("own") != F.col("other")).drop("other")
+
+
+def spanning_edges(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect what is connected among items 0 to n - 1. ``near(x, left)`` says which of the
+    items ``left`` link to x; items already reached are not compared again."""
+    edges: list[tuple[int, int]] = []
+    left = np.arange(n)
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            linked = near(x, left)
+            reached = left[linked].tolist()
+            edges += [(x, y) for y in reached]
+            queue += reached
+            left = left[~linked]
+    return edges

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefeat.llm.components import connected_components
+from pulsefeat.llm.components import connected_components, dealt_blocks, spanning_edges
 from pulsefeat.llm.storage import bounded_broadcast, cut
 from pulsefeat.llm.wordblocks import as_bytes, chunks, mix, shingle_sets, sorted_groups, words
 
@@ -101,37 +101,23 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
-def dealt_blocks(rows: DataFrame, group: str, size: str, item: str, block: int) -> DataFrame:
-    """``rows`` with a column ``task``: one value per group, or, for groups over ``block`` rows, one per
-    pair of blocks of the group, each row going to all pairs that its block is in."""
-    parts = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), F.col(item)), parts).cast("int")
-    pairs = F.when(parts <= 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)))
-    return rows.withColumn("pair", F.explode(pairs)).withColumn("task", F.xxhash64(group, "pair")).drop("pair")
+def _edges(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.asarray(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])
 
 
 def _loose(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Edges that tie together the members of each bucket whose sketches are near, transitively."""
     for group in sorted_groups(batches, "task"):
-        if group.num_rows < 2:
-            continue
         ids = group.column("rep").to_numpy()
         code = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), COORDINATES)
         sizes = group.column("n_shingles").to_numpy()
-        edges = []
-        left = np.arange(len(ids))
-        while len(left) > 1:
-            queue, left = [int(left[0])], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                near = (code[left] == code[x]).mean(axis=1) >= least
-                near &= np.minimum(sizes[left], sizes[x]) >= least * np.maximum(sizes[left], sizes[x])
-                edges += [(int(ids[x]), int(ids[y])) for y in left[near]]
-                queue += left[near].tolist()
-                left = left[~near]
-        if edges:
-            a, b = zip(*edges)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        def near(x, left):
+            alike = (code[left] == code[x]).mean(axis=1) >= least
+            return alike & (np.minimum(sizes[left], sizes[x]) >= least * np.maximum(sizes[left], sizes[x]))
+
+        yield _edges(ids, spanning_edges(len(ids), near))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -150,33 +136,26 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterat
             bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
             sets += [elements[bounds[i] : bounds[i + 1]] for i in range(hi - lo)]
         sizes = np.array([len(s) for s in sets])
-        edges = []
-        left = np.arange(len(ids))
-        while len(left) > 1:
-            queue, left = [int(left[0])], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                own = sets[x]
-                if not len(own):
-                    break
-                maybe = (code[left] == code[x]).mean(axis=1) >= least
-                maybe &= 100 * np.minimum(sizes[left], sizes[x]) >= percent * np.maximum(sizes[left], sizes[x])
-                linked = np.zeros(len(left), dtype=bool)
-                which = np.flatnonzero(maybe)
-                for lo in range(0, len(which), 256):
-                    some = which[lo : lo + 256]
-                    joined = np.concatenate([sets[y] for y in left[some]])
-                    found = np.searchsorted(own, joined)
-                    found[found == len(own)] = 0
-                    common = np.add.reduceat(own[found] == joined, np.concatenate([[0], np.cumsum(sizes[left[some]])[:-1]]), dtype=np.int64)
-                    union = len(own) + sizes[left[some]] - common
-                    linked[some] = 100 * common >= percent * union
-                edges += [(int(ids[x]), int(ids[y])) for y in left[linked]]
-                queue += left[linked].tolist()
-                left = left[~linked]
-        if edges:
-            a, b = zip(*edges)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        def near(x, left):
+            own = sets[x]
+            linked = np.zeros(len(left), dtype=bool)
+            if not len(own):
+                return linked
+            maybe = (code[left] == code[x]).mean(axis=1) >= least
+            maybe &= 100 * np.minimum(sizes[left], sizes[x]) >= percent * np.maximum(sizes[left], sizes[x])
+            which = np.flatnonzero(maybe)
+            for lo in range(0, len(which), 256):
+                some = which[lo : lo + 256]
+                others = left[some]
+                joined = np.concatenate([sets[y] for y in others])
+                found = np.searchsorted(own, joined)
+                found[found == len(own)] = 0
+                common = np.add.reduceat(own[found] == joined, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
+                linked[some] = 100 * common >= percent * (len(own) + sizes[others] - common)
+            return linked
+
+        yield _edges(ids, spanning_edges(len(ids), near))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

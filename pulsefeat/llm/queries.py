@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm import bpe_codec, minhash, mixing, quality, token_count
+from pulsefeat.llm import bpe_codec, embeddings, minhash, mixing, quality, token_count
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,10 +31,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op7_embedding_near_dedup, op9_minhash_near_dedup)}
 
 ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL}
