@@ -106,7 +106,7 @@ def coded(classes: DataFrame, kind: str, bits: int, bands: int) -> DataFrame:
                 packed = np.packbits(signs[:, :used].reshape(len(rows), -1), axis=1)
                 weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
                 own = signs.reshape(len(rows), -1)[:, : bits * bands].reshape(len(rows), bands, bits) @ weights
-                own = mix(own * ROLES[0] + np.arange(bands, dtype=np.uint64) * ROLES[1] + np.uint64(d) * ROLES[2]).view(np.int64)
+                own = mix(own * ROLES[0] + (np.arange(bands, dtype=np.uint64) + np.uint64(d << 32)) * ROLES[1]).view(np.int64)
                 for i, row in enumerate(rows):
                     codes[row], factors[row], buckets[row] = packed[i].tobytes(), factor[i].astype("<f4").tobytes(), own[i]
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm import bpe_codec, embeddings, minhash, mixing, quality, token_count
+from pulsefeat.llm import bpe_codec, embeddings, minhash, mixing, quality, token_count, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    judged = url_filter.judge_urls(url_filter.demo_captures(pages), url_filter.demo_entries(pages))
+    return judged.select("row.page_id", "host", "matched_pattern", "matched_action", "kept")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -39,6 +45,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op7_embedding_near_dedup, op9_minhash_near_dedup)}
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op9_minhash_near_dedup, op10_arc_to_warc)}
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL}
+ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL}
