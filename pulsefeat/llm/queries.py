@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm import bpe_codec, embeddings, minhash, mixing, quality, token_count, url_filter, warc
+from pulsefeat.llm import bpe_codec, embeddings, html_extract, minhash, mixing, quality, token_count, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -49,6 +53,6 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op9_minhash_near_dedup, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op8_html_extract, op9_minhash_near_dedup, op10_arc_to_warc)}
 
 ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL}
