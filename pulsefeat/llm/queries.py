@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm import bpe_codec, embeddings, html_extract, minhash, mixing, quality, token_count, url_filter, warc
+from pulsefeat.llm import bpe_codec, embeddings, html_extract, minhash, mixing, quality, substring, token_count, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.document_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -53,6 +57,6 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op8_html_extract, op9_minhash_near_dedup, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op8_html_extract, op9_minhash_near_dedup, op10_arc_to_warc)}
 
 ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL}
