@@ -231,13 +231,14 @@ def ewm_fold(values: Column, alpha: float) -> Column:
 
 def ewm(df: DataFrame, sensors: Sequence[str], w: WindowSpec, spans: Sequence[int] = SPANS) -> tuple[DataFrame, list[Feature]]:
     """Exponentially weighted means of earlier rows. The fold looks back only as far as weights count,
-    so a long history costs a constant per row; over longer gaps the last mean is carried on."""
+    so a long history costs a constant per row. It is made after rows with a value; after others the
+    last mean is carried on."""
     helpers, out = [], []
     for s in sensors:
         for n in spans:
             name = f"__ewm_{s}_{n}"
             items = F.collect_list(F.struct(F.col(s).alias("x"))).over(w.rowsBetween(-ewm_reach(n), -1))
-            helpers.append(ewm_fold(items, 2 / (n + 1)).alias(name))
+            helpers.append(F.when(F.lag(s, 1).over(w).isNotNull(), ewm_fold(items, 2 / (n + 1))).alias(name))
             carried = F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
             out.append(_feature("ewm", s, f"span_{n}", F.coalesce(F.col(name), carried), [s]))
     return df.select("*", *helpers), out
