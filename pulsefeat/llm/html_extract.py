@@ -71,7 +71,7 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.page = Page()
-        self.top = Node("", None, "")
+        self.top = Node("body", None, "")  # what no container holds
         self.open: list[Node] = [self.top]
         self.links = 0
         self.fresh = True
