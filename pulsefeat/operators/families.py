@@ -178,6 +178,12 @@ def operating(df: DataFrame) -> list[Feature]:
     return [_feature("operating", name, "", flag(rule), sources) for name, rule, sources in rules]
 
 
+def global_zscores(means: dict[str, float], deviations: dict[str, float]) -> list[Feature]:
+    """Distances from the training means in training deviations; not among the defaults. Give it to
+    ``FeatureEngineer(extra=...)`` with what another fit has learned."""
+    return [_feature("global", c, "zscore", safe_divide(F.col(c) - F.lit(m), F.lit(deviations[c])), [c]) for c, m in means.items() if c in SENSORS]
+
+
 # --- families of a machine's history -----------------------------------------------------------
 
 
