@@ -77,3 +77,8 @@ def relation_sample(df: DataFrame, columns: Sequence[str], key: str, n: int = 10
 
 def machines_shown(df: DataFrame, machine: str, n: int = 8) -> DataFrame:
     return df.select(machine).distinct().orderBy(machine).limit(n)
+
+
+def top_rows(df: DataFrame, measure: str, n: int = 20, name: str = "feature") -> DataFrame:
+    """The ``n`` rows of largest measure: given feature importances, missing shares, unique ratios."""
+    return df.where(F.col(measure).isNotNull()).orderBy(F.desc(measure), name).limit(n)

@@ -25,11 +25,19 @@ from pulsefeat.streaming.machine import MachineState, OnlineSettings, history_fe
 NOMINAL_POWER = 2860.0
 
 
+def observed_at(df: DataFrame, timestamp: str) -> Column:
+    """The time of an observation: texts are read, numbers are never times."""
+    kind = dict(df.dtypes).get(timestamp, "")
+    if kind == "string" or kind == "date" or kind.startswith("timestamp"):
+        return F.col(timestamp).try_cast("timestamp")
+    return F.lit(None).cast("timestamp")
+
+
 def stateless(df: DataFrame, timestamp: str = "timestamp") -> dict[str, Column]:
     """Time, physical and interaction features of an observation; NULL where an input is missing."""
     out: dict[str, Column] = {}
     if timestamp in df.columns:
-        t = F.col(timestamp)
+        t = observed_at(df, timestamp)
         out |= {
             "time_hour": F.hour(t), "time_minute": F.minute(t), "time_day_of_week": F.weekday(t), "time_day_of_month": F.dayofmonth(t), "time_day_of_year": F.dayofyear(t),
             "time_month": F.month(t), "time_quarter": F.quarter(t), "time_week_of_year": F.weekofyear(t), "time_is_weekend": F.when(t.isNotNull(), flag(F.weekday(t) >= 5)),
@@ -62,9 +70,11 @@ def expected_features(settings: OnlineSettings) -> list[str]:
 
 
 def _keyed(df: DataFrame, settings: OnlineSettings, machine: str, timestamp: str, seq: str) -> DataFrame:
-    at = F.unix_micros(F.col(timestamp).cast("timestamp")) / F.lit(1e6) if timestamp in df.columns else F.lit(None).cast("double")
+    """Key, order, time and readings; a true ``reset`` in a row clears its machine's state before it."""
+    at = F.unix_micros(observed_at(df, timestamp)) / F.lit(1e6)
     readings = [(F.col(s).cast("double") if s in df.columns else F.lit(None).cast("double")).alias(s) for s in settings.sensors]
-    return df.select(machine_key(F.col(machine) if machine in df.columns else F.lit(None)).alias("machine_key"), F.col(seq).cast("long").alias("seq"), at.alias("at"), *readings)
+    reset = F.coalesce(F.col("reset").cast("boolean"), F.lit(False)) if "reset" in df.columns else F.lit(False)
+    return df.select(machine_key(F.col(machine) if machine in df.columns else F.lit(None)).alias("machine_key"), F.col(seq).cast("long").alias("seq"), at.alias("at"), reset.alias("reset"), *readings)
 
 
 def _schema(settings: OnlineSettings) -> StructType:
@@ -80,8 +90,8 @@ def replay(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id",
         current, state = None, MachineState()
         for batch in batches:
             rows = []
-            for key, number, at, *readings in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != current:
+            for key, number, at, reset, *readings in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != current or reset:
                     current, state = key, MachineState()
                 features = state.observe(at, dict(zip(settings.sensors, readings)), settings)
                 if features is not None:
@@ -109,6 +119,8 @@ class MachineProcessor(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         for row in batch.itertuples(index=False):
             values = row._asdict()
+            if values["reset"]:
+                machine = MachineState()
             reading = {s: None if pd.isna(values[s]) else float(values[s]) for s in self.settings.sensors}
             features = machine.observe(None if pd.isna(values["at"]) else float(values["at"]), reading, self.settings)
             if features is not None:
@@ -145,11 +157,13 @@ def states_after(df: DataFrame, settings: OnlineSettings, machine: str = "machin
         current, state = None, MachineState()
         for batch in batches:
             done = []
-            for key, _, at, *readings in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, _, at, reset, *readings in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != current:
                     if current is not None:
                         done.append((current, state.to_json()))
                     current, state = key, MachineState()
+                if reset:
+                    state = MachineState()
                 state.observe(at, dict(zip(settings.sensors, readings)), settings)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([p for _, p in done], pa.string())], names=["machine_key", "payload"])
         if current is not None:

@@ -58,6 +58,15 @@ def test_stream_equals_replay_and_warm_start(spark):
     assert saved == want and set(saved) == {"__DEFAULT_MACHINE__", "m0", "m1", "m2"}
 
 
+def test_resets_and_numbers_that_are_no_times(spark):
+    rows = [("a", i, float(i), i == 3, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "machine_id string, seq long, rpm double, reset boolean, timestamp long")
+    got = online.replay(df, SMALL).orderBy("seq").collect()
+    assert [r.rpm_lag_1 for r in got] == [None, 0.0, 1.0, None, 3.0] and all(r.time_since_previous_observation_seconds is None for r in got)
+    assert MachineState.from_json(online.states_after(df, SMALL).first().payload).count == 2
+    assert df.select(online.stateless(df)["time_hour"]).first()[0] is None
+
+
 def test_window_columns_equal_replay_over_gaps(spark):
     rows = [("a", i, None if i % 3 == 0 else float(i * 7 % 11)) for i in range(30)]
     df = spark.createDataFrame(rows, "machine_id string, seq long, rpm double").withColumn("timestamp", F.timestamp_seconds(10 * F.col("seq")))
