@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefeat.functions.names import FAILURE_MODES, IDENTIFIERS, LABELS, SENSORS, TARGET
+from pulsefeat.functions.names import IDENTIFIERS, LABELS, SENSORS, TARGET
 from pulsefeat.functions.safe import EPSILON, finite, numeric
 from pulsefeat.operators import families as fam
 
