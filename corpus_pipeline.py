@@ -39,9 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, ids, n_tokens, decoded_equal``: token ids of the mix, decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe_codec.encode(docs.withColumn("encoded_text", F.coalesce("text", F.lit(""))), path)
-    decoded = bpe_codec.decode(coded, path, to="decoded_text")
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded_text") == F.col("encoded_text")).alias("decoded_equal"))
+    coded = bpe_codec.encode(docs, path, check="decoded_equal")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_equal")
 
 
 STAGES = [

@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsefeat.llm.storage import small_batches
 from pulsefeat.llm.vocabulary import byte_letters, load
 
 #: Fixed value: the split pattern of the byte-level vocabulary, with \s as White_Space.
@@ -38,7 +39,7 @@ SINGLE_SPACE = re.compile(r"[^\s\x1c-\x1f] (?=[^\s\x1c-\x1f])")
 DOUBLE_SPACE = re.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
 WINDOW = 1 << 17  # characters coded at a time
 BLOCK = 1 << 12  # bytes the transducer takes in between two looks for stable tokens
-REMEMBERED = 400_000  # pieces
+REMEMBERED = 60_000  # pieces
 
 
 def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], length: list[int]) -> int:
@@ -222,28 +223,38 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 of_text.append(text_sha.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with an array column of token ids in place of the text column."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, to)]
+def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", check: str | None = None) -> DataFrame:
+    """``docs`` with an array column of token ids in place of the text column. ``check`` names a further
+    column that says whether the ids, decoded in the same worker, give the text again."""
+    small_batches(docs.sparkSession)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, to, check)]
     packed = docs.select(F.struct(*rest).alias("row") if rest else F.struct(F.lit(1).alias("_")).alias("row"), F.col(f"`{text}`").alias("text"))
     row_type = packed.schema["row"].dataType.simpleString()
 
     def run(batches):
         bpe = codec(path)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(bpe.encode(t.as_py() or "")), dtype="<u4").astype(np.int32) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+            ids, equal = [], []
+            for t in batch.column("text"):
+                given = t.as_py() or ""
+                coded = b"".join(bpe.encode(given))
+                ids.append(np.frombuffer(coded, dtype="<u4").astype(np.int32))
+                equal.append("".join(bpe.decode(iter([coded]))) == given if check else None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32())), pa.array(equal, pa.bool_())], names=["row", "ids", "equal"])
 
-    out = packed.mapInArrow(run, f"row {row_type}, ids array<int>")
-    return out.select(*(["row.*"] if rest else []), F.col("ids").alias(to))
+    out = packed.mapInArrow(run, f"row {row_type}, ids array<int>, equal boolean")
+    return out.select(*(["row.*"] if rest else []), F.col("ids").alias(to), *([F.col("equal").alias(check)] if check else []))
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """``coded`` with the text that an array column of token ids stands for, as a further column."""
 
+    small_batches(coded.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(column):
         bpe = codec(path)

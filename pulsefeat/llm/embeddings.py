@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsefeat.llm.components import connected_components, dealt_blocks, spanning_edges
-from pulsefeat.llm.storage import cut
+from pulsefeat.llm.storage import cut, small_batches
 from pulsefeat.llm.wordblocks import ROLES, mix, sorted_groups
 
 MISS = 1e-3
@@ -177,6 +177,7 @@ def _exact(batches: Iterator[pa.RecordBatch], kind: str, cosine: float) -> Itera
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """Per vector ``vec_id, n_links, component_id, kept``."""
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    small_batches(vectors.sparkSession)
     given = cut(prepared(vectors), "vectors")
     usable = given.where(F.col("key").isNotNull() & F.col("vec_id").isNotNull())
     classes = cut(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "classes")

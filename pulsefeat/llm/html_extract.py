@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefeat.llm.storage import bounded_broadcast, cut
+from pulsefeat.llm.storage import bounded_broadcast, cut, small_batches
 from pulsefeat.llm.url_filter import host_of
 
 #: Hosts with their winning paths are broadcast up to this count (about 200 bytes each).
@@ -226,6 +226,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per page ``page_id, url, text, n_chars, host_path``."""
+    small_batches(pages.sparkSession)
     winners = bounded_broadcast(cut(host_paths(pages), "host-paths").withColumnRenamed("host", "voted"), MAX_BROADCAST_HOSTS)
     asked = pages.select(F.col("page_id").cast("long"), "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host")).join(winners, F.col("host") == F.col("voted"), "left")
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsefeat.llm.components import connected_components, dealt_blocks, spanning_edges
-from pulsefeat.llm.storage import bounded_broadcast, cut
+from pulsefeat.llm.storage import bounded_broadcast, cut, small_batches
 from pulsefeat.llm.wordblocks import as_bytes, chunks, mix, shingle_sets, sorted_groups, words
 
 ROWS, BANDS = 7, 36
@@ -160,6 +160,7 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterat
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``."""
+    small_batches(docs.sparkSession)
     least = percent / 100 - SLACK
     signed = cut(signatures(docs, k), "signatures")
     nodes = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsefeat.llm.storage import cut
+from pulsefeat.llm.storage import cut, small_batches
 from pulsefeat.llm.wordblocks import INK, as_bytes, chunks, mix, shingles, words
 
 SAMPLE = 4096
@@ -83,17 +83,20 @@ def counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def with_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``row`` (a struct of the columns in ``carry``) and the COUNTS of the text."""
+def with_counts(docs: DataFrame, carry: list[str], forest: Forest | None = None) -> DataFrame:
+    """``row`` (a struct of the columns in ``carry``), the COUNTS of the text and, of a given forest, the
+    ``score``, made in the same worker."""
+    small_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").alias("text"))
     row_type = packed.schema["row"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             table = counts(as_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(table[:, i]) for i in range(len(COUNTS))]], names=["row", *COUNTS])
+            score = np.zeros(len(table)) if forest is None else forest.rounded(features(pd.DataFrame(table, columns=COUNTS)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(table[:, i]) for i in range(len(COUNTS))], pa.array(score)], names=["row", *COUNTS, "score"])
 
-    return packed.mapInArrow(run, f"row {row_type}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return packed.mapInArrow(run, f"row {row_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
 
 
 def base_failed() -> Column:
@@ -172,6 +175,11 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(float(expected_path(self.subsample)), 1e-9))
 
 
+    def rounded(self, x: np.ndarray) -> np.ndarray:
+        """Scores without the last digits, in which summation may differ."""
+        return np.round(self.score(x), 9) if len(x) else np.zeros(0)
+
+
 @dataclass
 class Rules:
     """A fitted forest with the score from which documents are rejected."""
@@ -186,7 +194,7 @@ class Rules:
 
         @F.pandas_udf("double")
         def anomaly(*columns: pd.Series) -> pd.Series:
-            return pd.Series(np.round(forest.score(features(pd.DataFrame(dict(zip(COUNTS, columns))))), 9))
+            return pd.Series(forest.rounded(features(pd.DataFrame(dict(zip(COUNTS, columns))))))
 
         return anomaly(*[F.col(c) for c in COUNTS])
 
@@ -214,20 +222,21 @@ def fit(counted: DataFrame, labels: DataFrame) -> Rules:
     return rules
 
 
-def judge(counted: DataFrame, rules: Rules) -> DataFrame:
-    """``counted`` with ``base_failed``, ``score`` and ``kept``."""
-    failed = counted.withColumn("base_failed", base_failed()).withColumn("score", rules.score())
+def judge(scored: DataFrame, rules: Rules) -> DataFrame:
+    """``scored`` with ``base_failed`` and ``kept``."""
+    failed = scored.withColumn("base_failed", base_failed())
     return failed.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("score") * SCORE_STEPS) < F.lit(rules.threshold * SCORE_STEPS)))
 
 
 def document_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document ``doc_id``, COUNTS, ``base_failed``, ``score`` and ``kept``."""
     counted = cut(with_counts(docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), *COUNTS), "counts")
-    return judge(counted, fit(counted, labels))
+    rules = fit(counted, labels)
+    return judge(counted.withColumn("score", rules.score()), rules)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass base rules and forest. Texts are read twice, never shuffled."""
     counted = with_counts(docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), *COUNTS)
     rules = fit(counted, labels)
-    return judge(with_counts(docs, docs.columns), rules).where("kept").select("row.*")
+    return judge(with_counts(docs, docs.columns, rules.forest), rules).where("kept").select("row.*")

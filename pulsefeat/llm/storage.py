@@ -6,6 +6,7 @@ is a folder of our own made, and set as the checkpoint folder for the session.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -29,6 +33,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python workers in batches of BATCH_BYTES at most, whatever the length of
+    the texts; a lower setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+    if size is None or int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[size[2]] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, label: str, codec: str = "lz4") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and a
     lost executor costs a re-read instead of a re-run."""

@@ -22,13 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsefeat.llm.storage import small_batches
 from pulsefeat.llm.vocabulary import byte_letters, load
 
 #: Fixed value: the split pattern of the word vocabulary, with \s as White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
-REMEMBERED = 400_000
+REMEMBERED = 60_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -135,5 +136,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             tokens = [counting.tokens(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     sized = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 
 def byte_letters() -> list[str]:
@@ -14,7 +13,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
-@lru_cache(maxsize=4)
 def load(path: str) -> dict:
     """``ids`` (token string to id), ``merges`` ((left id, right id) to (rank, merged id)),
     ``special`` (content to id) and ``suffix`` (mark of a word's end)."""

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm.storage import bounded_broadcast, cut, new_path
+from pulsefeat.llm.storage import bounded_broadcast, cut, new_path, small_batches
 
 #: Header fields of ARC versions 1 and 2.
 FIELDS = {
@@ -228,6 +228,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Pages to ARC, ARC to WARC, WARC read back: per page ``page_id, payload_bytes, payload_digest,
     record_type, refers_to``."""
     spark = pages.sparkSession
+    small_batches(spark)
     path = new_path(spark, "warc")
     write_warc(convert(arc_archives(pages)), path)
     found = read_warc(spark, path).drop("payload", "uri")

@@ -12,8 +12,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
-SEGMENT = 1 << 22
+BLOCK_BYTES = 1 << 20
+SEGMENT = 1 << 19
 INK = np.ones(256, dtype=bool)
 INK[[0x20, *range(0x09, 0x0E)]] = False
 VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
