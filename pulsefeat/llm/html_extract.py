@@ -3,7 +3,8 @@
 Each page's containers are scored by the paragraphs they hold, and the best one votes for its
 generalised path (tags and classes from the root, without digits). Votes are summed per host in Spark;
 a page is then extracted again from the containers on its host's winning path, or, where a page has
-none of these or hardly any of its text there, on its own best path.
+none of these or hardly any of its text there, on its own best path. Around the containers on a path, the
+nearest article or main counts as a whole; without one, what holds them and the page's h1.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out, by tag, role and class or id words; headings inside an article's header stay. A block's
@@ -180,13 +181,58 @@ def best_path(scores: dict[str, float]) -> str | None:
     return min(scores, key=lambda p: (-scores[p], p)) if scores else None
 
 
-def text_on(page: Page, path: str) -> str:
+def _above(node: Node | None) -> list[Node]:
+    """The node and what holds it, from the inside out."""
+    chain = []
+    while node is not None:
+        chain.append(node)
+        node = node.parent
+    return chain
+
+
+def _widened(live: list[tuple[Node, str, bool, bool]], paths: set[str]) -> set[int]:
+    """The elements whose text is the page's: for each container on one of the paths the nearest article or
+    main around it; where there is none, the smallest element that holds it and the page's first h1, or,
+    if that is the whole body, the container and the h1."""
+    held: dict[int, Node] = {}
+    title: Node | None = None
+    for node, text, linked, _ in live:
+        if not text.strip():
+            continue
+        if title is None and node.tag == "h1" and not linked:
+            title = node
+        for at in _above(container_of(node)):
+            if at.path in paths and (at.tag in CONTAINERS):
+                held[id(at)] = at
+    of_title = {id(n) for n in _above(title)}
+    roots: set[int] = set()
+    for at in held.values():
+        above = _above(at)
+        around = next((n for n in above if n.tag in ("article", "main")), None)
+        if around is None:
+            around = at
+            if title is not None and id(at) not in of_title:
+                common = next(n for n in above if id(n) in of_title)
+                if common.tag in ("html", "body"):
+                    roots.add(id(title))
+                else:
+                    around = common
+        elif title is not None and id(around) not in of_title:
+            roots.add(id(title))
+        roots.add(id(around))
+    return roots
+
+
+def text_on(page: Page, *paths: str) -> str:
+    """Text of the containers on the paths, widened, in page order."""
+    live = _live(page)
+    roots = _widened(live, set(paths))
+    inside: dict[int, bool] = {}
     out: list[str] = []
-    for node, text, _, fresh in _live(page):
-        at: Node | None = container_of(node)
-        while at is not None and at.path != path:
-            at = container_of(at.parent) if at.parent else None
-        if at is not None:
+    for node, text, _, fresh in live:
+        if id(node) not in inside:
+            inside[id(node)] = any(id(n) in roots for n in _above(node))
+        if inside[id(node)]:
             out.append((" " if fresh else "") + text)
         elif out:
             out.append(" ")

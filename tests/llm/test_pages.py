@@ -38,6 +38,22 @@ def test_main_text_of_many_layouts(spark):
     assert html_extract.main_texts(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_main_text_keeps_what_lies_around_the_best_container(spark):
+    body = "".join(f"<p>Paragraph {c} of the story goes on and on for a while.</p>" for c in "abcdefgh")
+    plain = " ".join(f"Paragraph {c} of the story goes on and on for a while." for c in "abcdefgh")
+    noise = "<nav><a href=x>Home</a></nav><footer>c 2020</footer>"
+    cases = [
+        (f"<article><h1>Title</h1><p>Lead.</p><div class=entry-content>{body}</div></article>", f"Title Lead. {plain}"),
+        (f"<article><header><h1>Title</h1></header><div class=entry-content>{body}</div></article>", f"Title {plain}"),
+        (f"<article><section class=intro><p>Intro.</p></section><section class=text>{body}</section><section class=end><p>End.</p></section></article>", f"Intro. {plain} End."),
+        (f"<main><h1>Title</h1><article>{body}</article></main>", f"Title {plain}"),
+        (f"<div class=wrap><h1>Title</h1><div class=text>{body}</div><div class=end><p>End.</p></div></div>", f"Title {plain} End."),
+        (f"<h1>Title</h1><div class=text>{body}</div>", f"Title {plain}"),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.example.com/", page(noise + h), "") for i, (h, _) in enumerate(cases)], PAGES)
+    assert [r.text for r in html_extract.main_texts(df).orderBy("page_id").collect()] == [want for _, want in cases]
+
+
 def test_host_consensus_overrules_a_page(spark):
     long = "<p>" + "the story goes on " * 8 + "</p>"
     normal = page(f"<div class=story>{long}</div><div class=extra><p>little</p></div>")
