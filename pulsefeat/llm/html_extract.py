@@ -2,8 +2,9 @@
 
 Each page's containers are scored by the paragraphs they hold, and the best one votes for its
 generalised path (tags and classes from the root, without digits). Votes are summed per host in Spark;
-a page is then extracted again from the containers on its host's winning path, or, where a page has
-none of these or hardly any of its text there, on its own best path. Around the containers on a path, the
+a page is then extracted again from the containers on its host's winning path. Where a page has none of
+these, its own best path counts; where hardly any of its text is there, or its own best path is one that
+pages voting for the winner don't have, both count, in page order. Around the containers on a path, the
 nearest article or main counts as a whole; without one, what holds them and the page's h1.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
@@ -239,35 +240,49 @@ def text_on(page: Page, *paths: str) -> str:
     return " ".join("".join(out).split())
 
 
-def extract(html: str, host_path: str | None) -> str:
+def extract(html: str, host_path: str | None, beaten: set[str] | None = None) -> str:
+    """Text on the host's path. Where the page's own best path never was on a page that voted for the
+    host's (it isn't in ``beaten``), the vote says nothing of it, and the text on both stays."""
     page = parse(html)
-    own = best_path(path_scores(page))
+    scores = path_scores(page)
+    own = best_path(scores)
     if own is None:
         return ""
-    fallback = text_on(page, own)
-    if host_path and host_path != own:
+    if not host_path or host_path == own or host_path not in scores:
+        return text_on(page, own)
+    both = text_on(page, own, host_path)
+    if own in (beaten or ()):
         text = text_on(page, host_path)
-        if len(text) >= LEAST_SHARE * len(fallback):
+        if len(text) >= LEAST_SHARE * len(text_on(page, own)):
             return text
-    return fallback
+    return both
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, host_path``: the path with most votes; a page's vote is its best path's share of scores."""
+    """``host, host_path, beaten``: the path with most votes, and the best paths of other pages that pages
+    voting for it have too. A page's vote is its best path's share of scores."""
 
     def run(batches):
         for batch in batches:
-            paths, votes = [], []
+            paths, votes, others = [], [], []
             for html in batch.column("html"):
                 scores = path_scores(parse(html.as_py() or ""))
                 best = best_path(scores)
                 paths.append(best)
                 votes.append(round(1000 * scores[best] / sum(scores.values())) if best else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], names=["host", "path", "vote"])
+                others.append([p for p in scores if p != best])
+            columns = [batch.column("host"), pa.array(paths, pa.string()), pa.array(votes, pa.int64()), pa.array(others, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "vote", "others"])
 
-    votes = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html").mapInArrow(run, "host string, path string, vote long")
-    totals = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    return totals.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("best")).select("host", F.col("best.path").alias("host_path"))
+    asked = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
+    votes = cut(asked.mapInArrow(run, "host string, path string, vote long, others array<string>").where("path IS NOT NULL"), "votes", codec="zstd")
+    totals = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
+    winners = totals.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("best")).select("host", F.col("best.path").alias("host_path"))
+    seen = votes.select("host", "path", F.explode("others").alias("other")).distinct()
+    # Only paths that are the best one of some page matter.
+    lost = seen.join(winners, "host").where(F.col("path") == F.col("host_path")).select("host", F.col("other").alias("path"))
+    lost = lost.join(totals, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set("path").alias("beaten"))
+    return winners.join(lost, "host", "left")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -278,8 +293,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [extract(html.as_py() or "", path.as_py()) for html, path in zip(batch.column("html"), batch.column("host_path"))]
+            texts = [extract(html.as_py() or "", path.as_py(), set(beaten.as_py() or ())) for html, path, beaten in zip(*(batch.column(c) for c in ("html", "host_path", "beaten")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("host_path")], names=["page_id", "url", "text", "host_path"])
 
-    texts = asked.select("page_id", "url", "html", "host_path").mapInArrow(run, "page_id long, url string, text string, host_path string")
+    texts = asked.select("page_id", "url", "html", "host_path", "beaten").mapInArrow(run, "page_id long, url string, text string, host_path string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host_path")

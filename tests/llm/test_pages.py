@@ -63,6 +63,16 @@ def test_host_consensus_overrules_a_page(spark):
     assert got[9].host_path.endswith("div.story") and got[9].text == got[1].text
 
 
+def test_host_does_not_overrule_what_its_voters_lack(spark):
+    summary, body = "<p>" + "the summary says so " * 8 + "</p>", "<p>" + "the long body goes on " * 12 + "</p>"
+    short = page(f"<div class=summary>{summary}</div>")
+    full = page(f"<div class=summary>{summary}</div><div class=body>{body}</div>")
+    df = spark.createDataFrame([(i, "http://one.example.com/a", short, "") for i in range(5)] + [(9, "http://one.example.com/b", full, "")], PAGES)
+    got = {r.page_id: r for r in html_extract.main_texts(df).collect()}
+    assert got[9].host_path.endswith("div.summary")
+    assert got[9].text == ("the summary says so " * 8 + "the long body goes on " * 12).strip() and got[1].text == ("the summary says so " * 8).strip()
+
+
 def test_archives_round_trip(spark):
     big = "<p>é" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(3, "http://a/", big, ""), (1, "http://b/ c", big, ""), (7, None, big, ""), (4, "http://d/", "short", ""), (5, "http://e/", "short", ""), (6, "http://f/", None, ""), (8, "http://g/", big + "z", "")]
