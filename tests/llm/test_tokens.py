@@ -58,6 +58,34 @@ def test_streamed_piece_equals_merging_it_whole():
         assert len(parts) > 3 and [x for p in parts for x in p] == whole
 
 
+def test_one_unbroken_piece_is_held_in_blocks(libraries, monkeypatch):
+    rng = random.Random(9)
+    bpe = bpe_codec.ByteBpe(BYTE)
+    held, merged = [], bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda data: held.append(len(data)) or merged(data))
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20))
+    blocks = list(bpe.encode("one " + text))
+    assert max(held) <= bpe.lookahead + 2 * bpe_codec.BLOCK and max(map(len, blocks)) <= 4 * max(held) and len(blocks) > 200
+    assert "".join(bpe.decode(iter(blocks))) == "one " + text
+    part = text[:100_000]
+    assert np.frombuffer(b"".join(bpe.encode(part)), dtype="<u4").tolist() == libraries[0].encode(part, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("window,together", [(7, 50), (1 << 17, 1 << 20)])
+def test_texts_coded_together_keep_their_own_ids(libraries, monkeypatch, window, together):
+    monkeypatch.setattr(bpe_codec, "WINDOW", window)
+    monkeypatch.setattr(bpe_codec, "TOGETHER", together)
+    monkeypatch.setattr(bpe_codec, "REMEMBERED", 40)
+    rng = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "é", "日", "12", "'s", "$$", "<|endoftext|>", "½", " \n", "\r\n", "z" * 50, "q" * 1100]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    got = [b""] * len(texts)
+    for i, ids in bpe_codec.ByteBpe(BYTE).encode_all(texts):
+        got[i] += ids
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == libraries[0].encode(text, add_special_tokens=False).ids, text
+
+
 def test_ill_formed_bytes_decode_to_replacement_characters(libraries):
     ids = [bpe_codec.codec(BYTE).start[b] for b in b"a\xe2\x82b\xff\xf0\x9f"]
     got = "".join(bpe_codec.codec(BYTE).decode(iter([np.asarray([i], dtype="<u4").tobytes() for i in ids])))
