@@ -2,7 +2,7 @@
 
 A word starts as its byte symbols in a doubly linked list; a heap gives the adjacent pair of lowest
 rank (leftmost first), which is merged in place until no pair has a rank. The count is the number
-of initial symbols minus merges. Counts of frequent words are remembered in a bounded table.
+of initial symbols minus merges. Counts of words met lately are remembered in tables of bounded size.
 
 Defined edge cases
   * null text counts as empty: 0 bytes, 0 tokens
@@ -12,10 +12,10 @@ Defined edge cases
 
 from __future__ import annotations
 
-import heapq
 import re
 import unicodedata
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -29,7 +29,7 @@ from pulsefeat.llm.vocabulary import byte_letters, load
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
-REMEMBERED = 60_000
+REMEMBERED = 1 << 17  # strings in each half of a table
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -38,43 +38,56 @@ SHIFT = 20
 
 def merges_of(symbols: list[int], rank_of: Callable[[int], int | None], joined: list[int]) -> int:
     """How many merges the list of symbols undergoes. A heap entry holds the rank and the position of
-    a pair's left symbol; it is stale if the pair there has another rank by now."""
+    a pair's left symbol; it is stale once the pair there has another rank."""
     n = len(symbols)
+    ranks = [rank_of(a << SHIFT | b) for a, b in zip(symbols, symbols[1:])]
+    heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank is not None]
+    if not heap:
+        return 0
+    ranks.append(None)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [rank << 32 | i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (rank := rank_of(a << SHIFT | b)) is not None]
-    heapq.heapify(heap)
+    heapify(heap)
     done = 0
     while heap:
-        entry = heapq.heappop(heap)
-        rank, i = entry >> 32, entry & 0xFFFFFFFF
-        j = after[i]
-        if j >= n or symbols[i] < 0 or rank_of(symbols[i] << SHIFT | symbols[j]) != rank:
+        entry = heappop(heap)
+        i = entry & 0xFFFFFFFF
+        if ranks[i] != (rank := entry >> 32):
             continue
+        j = after[i]
         new = symbols[i] = joined[rank]
-        symbols[j] = -1
+        ranks[j] = None
         done += 1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            if (rank := rank_of(new << SHIFT | symbols[k])) is not None:
-                heapq.heappush(heap, rank << 32 | i)
+            ranks[i] = rank = rank_of(new << SHIFT | symbols[k])
+            if rank is not None:
+                heappush(heap, rank << 32 | i)
+        else:
+            ranks[i] = None
         h = before[i]
-        if h >= 0 and (rank := rank_of(symbols[h] << SHIFT | new)) is not None:
-            heapq.heappush(heap, rank << 32 | h)
+        if h >= 0:
+            ranks[h] = rank = rank_of(symbols[h] << SHIFT | new)
+            if rank is not None:
+                heappush(heap, rank << 32 | h)
     return done
 
 
 class Remembered(dict):
-    """Counts of strings met before; emptied when full, so memory stays bounded."""
+    """Counts of strings met lately. When half of the bound is reached, what was there before goes."""
 
     def __init__(self, count: Callable[[str], int]):
         super().__init__()
         self.count = count
+        self.older: dict[str, int] = {}
 
     def __missing__(self, text: str) -> int:
-        n = self.count(text)
+        n = self.older.get(text)
+        if n is None:
+            n = self.count(text)
         if len(text) <= 64:
             if len(self) >= REMEMBERED:
+                self.older = self.copy()
                 self.clear()
             self[text] = n
         return n
@@ -94,8 +107,9 @@ class TokenCounter:
         self.runs = Remembered(self.run)
 
     def word(self, word: str) -> int:
-        *rest, last = word.encode()
-        symbols = [self.inner[b] for b in rest] + [self.final[last]]
+        data = word.encode()
+        symbols = list(map(self.inner.__getitem__, data))
+        symbols[-1] = self.final[data[-1]]
         return len(symbols) - merges_of(symbols, self.rank_of, self.joined)
 
     def run(self, text: str) -> int:
