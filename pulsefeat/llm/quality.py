@@ -2,15 +2,17 @@
 
 Statistics of every document's whole text feed a set of base rules and the features of an isolation
 forest. Trees split random features at random values of small subsamples, so documents that few
-random splits set apart are anomalous. The forest is fitted on a bounded sample of labelled documents
-(``SAMPLE`` rows, those of smallest hash); the score from which a document is rejected is calibrated
-on all labelled documents: the one that sets low quality best apart from good quality while at most
-``GOOD_LOST`` of the good ones fall.
+random splits set apart are anomalous. A subsample shows what good documents are like: labelled good
+ones, with ``RARE`` low-quality ones among them, so that splits also fall beyond the range of the good.
+(Drawn as they come, low-quality documents of one kind are a dense cluster and no anomaly.) The forest
+is fitted on a bounded sample of labelled documents (``SAMPLE`` rows of each label, those of smallest
+hash); the score from which a document is rejected is calibrated on all labelled documents: the one that
+sets low quality best apart from good quality while at most ``GOOD_LOST`` of the good ones fall.
 
 Defined edge cases
   * null, empty or blank text: all counts 0, so the base rule of length fails
   * a document labelled twice counts with its lower quality; null labels and null ids count for nothing
-  * no labelled document passes the base rules, or no low-quality one does: no score is rejected
+  * no labelled document passes the base rules, or no good or no low-quality one does: no score is rejected
   * repeated rows get equal verdicts; an empty table gives an empty result; extra columns are carried
     by ``filter_documents`` and not read otherwise
 """
@@ -29,8 +31,9 @@ from pulsefeat.llm.storage import cut, small_batches
 from pulsefeat.llm.wordblocks import INK, as_bytes, chunks, mix, shingles, words
 
 SAMPLE = 4096
-TREES, SUBSAMPLE, DEPTH = 128, 256, 8
-GOOD_LOST = 0.002
+TREES, SUBSAMPLE, RARE, DEPTH = 256, 256, 2, 8
+GOOD_LOST = 0.005
+TRACE = 3e-4  # a share that counts as hardly any
 SCORE_STEPS = 2000
 #: The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -104,20 +107,12 @@ def base_failed() -> Column:
 
 
 def features(table: pd.DataFrame) -> np.ndarray:
-    """The forest's features; shares, so that length alone is no anomaly."""
-    n = np.maximum(table["n_words"].to_numpy(float), 1)
-    letters = np.maximum(table["word_chars"].to_numpy(float), 1)
-    return np.column_stack(
-        [
-            np.log1p(table["n_symbols"].to_numpy(float) / n),
-            table["word_chars"].to_numpy(float) / n,
-            table["n_capitals"].to_numpy(float) / letters,
-            table["n_marks"].to_numpy(float) / n,
-            table["n_digits"].to_numpy(float) / letters,
-            table["n_dup_lines"].to_numpy(float) / np.maximum(table["n_lines"].to_numpy(float), 1),
-            table["n_repeat_words"].to_numpy(float) / n,
-        ]
-    )
+    """The forest's features: shares, so that length alone is no anomaly, and their logarithms where most
+    documents have next to none, so that a random split falls between none and some."""
+    count = {c: table[c].to_numpy(float) for c in COUNTS}
+    n, letters, rows = (np.maximum(count[c], 1) for c in ("n_words", "word_chars", "n_lines"))
+    few = [count["n_symbols"] / n, count["n_marks"] / n, count["n_digits"] / letters, count["n_dup_lines"] / rows, count["n_repeat_words"] / n]
+    return np.column_stack([*np.log(np.array(few) + TRACE), count["word_chars"] / n, count["n_capitals"] / letters])
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -137,15 +132,20 @@ class Forest:
     subsample: int
 
     @classmethod
-    def fit(cls, x: np.ndarray, seed: int = 42) -> Forest:
+    def fit(cls, x: np.ndarray, rare: np.ndarray | None = None, seed: int = 42) -> Forest:
+        """Trees over subsamples of ``x``; RARE rows of each, or fewer, come from ``rare``."""
+        few = min(RARE, len(rare)) if rare is not None else 0
         rng = np.random.default_rng(seed)
         nodes = 2 ** (DEPTH + 1) - 1
         feature = np.zeros((TREES, nodes), dtype=np.int32)
         value = np.full((TREES, nodes), np.inf)
         length = np.zeros((TREES, nodes))
-        size = min(SUBSAMPLE, len(x))
+        size = min(SUBSAMPLE - few, len(x))
         for t in range(TREES):
-            todo = [(0, 0, x[rng.choice(len(x), size, replace=False)])]
+            drawn = x[rng.choice(len(x), size, replace=False)]
+            if few:
+                drawn = np.concatenate([drawn, rare[rng.choice(len(rare), few, replace=False)]])
+            todo = [(0, 0, drawn)]
             while todo:
                 node, depth, part = todo.pop()
                 spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 else []
@@ -161,7 +161,7 @@ class Forest:
                 feature[t, node], value[t, node] = f, cut_at
                 right = part[:, f] > cut_at
                 todo += [(2 * node + 1, depth + 1, part[~right]), (2 * node + 2, depth + 1, part[right])]
-        return cls(feature, value, length, size)
+        return cls(feature, value, length, size + few)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1; the shorter the mean path, the higher."""
@@ -204,16 +204,15 @@ def fit(counted: DataFrame, labels: DataFrame) -> Rules:
     graded = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
     labelled = counted.where(~base_failed()).join(graded, F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", *COUNTS)
     labelled = cut(labelled, "labelled")
-    sample = labelled.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", *COUNTS).limit(SAMPLE).toPandas()
-    if len(sample) < 2:
+    order = [F.xxhash64(F.lit(1), "doc_id"), "doc_id", *COUNTS]
+    good, rare = (labelled.where(of).orderBy(*order).limit(SAMPLE).toPandas() for of in (F.col("quality") >= 1, F.col("quality") < 1))
+    if len(good) < 2 or not len(rare):
         return Rules(None, float("inf"))
-    rules = Rules(Forest.fit(features(sample)), float("inf"))
+    rules = Rules(Forest.fit(features(good), features(rare)), float("inf"))
     step = F.floor(rules.score() * SCORE_STEPS).cast("int")
     graded_scores = labelled.select("quality", step.alias("step")).groupBy("step").agg(F.count_if(F.col("quality") >= 1).alias("good"), F.count_if(F.col("quality") < 1).alias("low"))
     table = graded_scores.toPandas().sort_values("step", ascending=False)  # SCORE_STEPS + 1 rows at most
     good, low = table["good"].cumsum().to_numpy(), table["low"].cumsum().to_numpy()
-    if not len(table) or low[-1] == 0:
-        return rules
     lost, caught = good / max(good[-1], 1), low / low[-1]
     gain = np.where(lost <= GOOD_LOST, caught - lost, -1.0)
     best = int(gain.argmax())

@@ -63,3 +63,19 @@ def test_path_lengths_single_out_an_outlier():
 
 def test_empty_table(spark):
     assert quality.document_verdicts(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], LABELS)).collect() == []
+
+
+def test_forest_on_held_out_labels_of_the_real_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    counted = quality.with_counts(docs, ["doc_id"]).selectExpr("row.doc_id", *quality.COUNTS)
+    verdicts = quality.judge(counted.withColumn("score", (rules := quality.fit(counted, labels.where("doc_id % 2 = 0"))).score()), rules)
+    unseen = verdicts.where("NOT base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"}).collect()
+    kept = {r.quality: r["count_if(kept)"] / r["count(1)"] for r in unseen}
+    assert kept[0] <= 0.1 and kept[1] >= 0.985, kept
+
+
+def test_clashing_columns(spark):
+    rows, labels = corpus(random.Random(5))
+    df = spark.createDataFrame([(*r, 1, "s", True, 0) for r in rows], SCHEMA + ", n_words long, score string, kept boolean, quality int")
+    kept = quality.filter_documents(df, spark.createDataFrame([(*x, "t") for x in labels], LABELS + ", text string"))
+    assert kept.columns == df.columns and 600 < kept.count() < 800 and kept.first().score == "s"
