@@ -1,15 +1,17 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the paragraphs they hold, and the best one votes for its
-generalised path (tags and classes from the root, without digits). Votes are summed per host in Spark;
-a page is then extracted again from the containers on its host's winning path. Where a page has none of
-these, its own best path counts; where hardly any of its text is there, or its own best path is one that
-pages voting for the winner don't have, both count, in page order. Around the containers on a path, the
-nearest article or main counts as a whole; without one, what holds them and the page's h1.
+Each page's containers are scored by the paragraphs they hold. A page chooses the best one's generalised
+path (tags and classes from the root, without digits) and those of the blocks beside it that read as text:
+40 characters or a heading, not links for the most part. Choices are votes, summed per host in Spark: a
+path that half of the pages having it choose is won for the host, others that some page chose are lost.
+A page is then extracted again from the elements on the paths it chose or the host has won, without the
+lost ones, if hardly anything would be left then, with them. Around an element on a path, the nearest
+article or main counts as a whole; without one, what holds it and the page's h1.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out, by tag, role and class or id words; headings inside an article's header stay. A block's
-white space becomes one space, and blocks follow each other in page order, one space between them.
+left out, by tag, role and class or id words (``social-science`` is no ``social``); a form or an element
+of such a name that holds most of the page is kept, and so are headings inside an article's header. A
+block's white space becomes one space, and blocks follow each other in page order, one space between them.
 
 Defined edge cases
   * null or empty html: empty text; pages cut off anywhere: what was there until then
@@ -31,24 +33,46 @@ from pyspark.sql import functions as F
 from pulsefeat.llm.storage import bounded_broadcast, cut, small_batches
 from pulsefeat.llm.url_filter import host_of
 
-#: Hosts with their winning paths are broadcast up to this count (about 200 bytes each).
+#: Hosts with their paths are broadcast up to this count, and 64 MB.
 MAX_BROADCAST_HOSTS = 100_000
-#: The winning path counts for a page if it holds this share of the text on the page's own best path.
+#: Paths that are lost for the host are left out if the rest holds this share of a page's text.
 LEAST_SHARE = 0.3
+#: Characters from which on a block beside the best container reads as text.
+LEAST_TEXT = 40
 
 # HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video nav footer aside form button select textarea option input dialog menu fieldset".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video nav footer aside button select textarea option input dialog menu fieldset".split())
 CONTAINERS = frozenset("html body main article section div td center table".split())
 ROOTS = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies discussion responses".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond".split())
+TALK_WORDS = frozenset("discussion discussions replies responses".split())  # of readers, unless in an article
+FRAME_WORDS = frozenset("aside banner footer header masthead".split())
 CLUTTER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice alert popup modal overlay "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar cookie cookies consent copyright notice alert popup modal overlay "
     "newsletter subscribe subscription signup login social share sharing related recommended widget pagination pager skip toolbar".split()
 )
+# Words that say no more than where an element is or what it is made of.
+PLACE_WORDS = frozenset(
+    "a area banner bar block bottom box btn button buttons center col column container content cover desktop footer header icon icons id inner item "
+    "items js left link links list lists main mobile outer page panel placeholder primary right row secondary section site slot small sticky "
+    "the top unit view wrap wrapper".split()
+)
+CONTENT_WORDS = frozenset("article entry fb media post reader story thread to user".split())
+
+
+def _marked(tokens: list[str], marks: frozenset[str], places: frozenset[str]) -> bool:
+    """Whether a class or id has one of the words, and besides them only words of place."""
+    for token in tokens:
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+        if any(w in marks for w in words) and all(w in marks or w in places for w in words):
+            return True
+    return False
 
 
 @dataclass
@@ -62,6 +86,7 @@ class Node:
     clutter: bool = False  # left out unless it holds most of the page
     heading: bool = False
     in_header: bool = False
+    in_head: bool = False
 
 
 @dataclass
@@ -89,19 +114,24 @@ class _Builder(HTMLParser):
         # What HTML closes by itself: a paragraph before any block, items and cells before their like.
         if self.open[-1].tag == "p" or (tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.open[-1].tag == tag):
             self.open.pop()
+        if self.open[-1].in_head and tag not in IN_HEAD:
+            while self.open[-1].in_head:
+                self.open.pop()
+        if tag in ("html", "body") and any(n.tag == tag for n in self.open[1:]):
+            return
         parent = self.open[-1]
         values = {n: (v or "") for n, v in attrs}
-        names = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values.get("class", "") + " " + values.get("id", "")).lower()) if w]
-        path = parent.path
-        if tag in CONTAINERS:
-            classes = sorted({re.sub(r"\d+", "", c.lower()) for c in values.get("class", "").split()})
-            path = f"{parent.path}/{tag}" + "".join(f".{c}" for c in classes if c)
-        node = Node(tag, parent, path, heading=tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-        node.in_header = parent.in_header or (tag == "header" and any(n.tag in ("article", "main") for n in self.open))
+        tokens = [*values.get("class", "").split(), values.get("id", "")]
+        classes = sorted({re.sub(r"\d+", "", c.lower()) for c in values.get("class", "").split()})
+        node = Node(tag, parent, f"{parent.path}{'/' if tag in CONTAINERS else '>'}{tag}" + "".join(f".{c}" for c in classes if c), heading=tag in HEADINGS)
+        in_article = any(n.tag in ("article", "main") for n in self.open)
+        node.in_head = parent.in_head or tag == "head"
+        node.in_header = parent.in_header or (tag == "header" and in_article)
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+        talk = COMMENT_WORDS if any(n.tag == "article" for n in self.open) else COMMENT_WORDS | TALK_WORDS
         unmarked = tag not in ROOTS
-        node.skipped = parent.skipped or tag in SKIPPED or (unmarked and (hidden or values.get("role", "") in SKIPPED_ROLES or any(n in COMMENT_WORDS for n in names))) or (tag == "header" and not node.in_header)
-        node.clutter = unmarked and any(n in CLUTTER_WORDS for n in names)
+        node.skipped = parent.skipped or tag in SKIPPED or (unmarked and (hidden or values.get("role", "") in SKIPPED_ROLES or _marked(tokens, talk, PLACE_WORDS | CONTENT_WORDS))) or (tag == "header" and not node.in_header)
+        node.clutter = tag == "form" or (unmarked and (_marked(tokens, CLUTTER_WORDS, PLACE_WORDS | CONTENT_WORDS) or _marked(tokens, FRAME_WORDS, PLACE_WORDS)))
         self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -117,6 +147,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip():
+            self.open.pop()  # text ends a head that is left open
         if not self.open[-1].skipped:
             self.page.chunks.append((self.open[-1], data, self.links > 0, self.fresh))
             self.fresh = False
@@ -191,8 +223,43 @@ def _above(node: Node | None) -> list[Node]:
     return chain
 
 
+def choice(page: Page) -> tuple[list[str], list[str]]:
+    """The paths that a page chooses, the best container's first, and those of other blocks beside it.
+
+    Beside it are, at each level up to its main or the page's root, the blocks and containers next to
+    what holds it; text right in what holds it is a block of the path ending in ``>#text``. Inside an
+    article or main all of it counts, so only what is next to an article in the same main is beside it."""
+    live = [c for c in _live(page) if c[1].strip()]
+    best = best_path(path_scores(page))
+    if best is None:
+        return [], []
+    roots = _widened(live, {best})
+    spine: dict[int, bool] = {}  # what holds the elements that count; whether blocks in it are beside them
+    for node, *_ in live:
+        above = _above(node)
+        at = next((i for i, n in enumerate(above) if id(n) in roots), None)
+        if at is not None:
+            within = next((i for i, n in enumerate(above) if n.tag == "main" and i > at), None)
+            marked = above[at].tag in ("article", "main")
+            for i in range(at + 1, len(above)):
+                spine[id(above[i])] = i <= within if within is not None else not marked
+    beside: dict[int, list] = {}
+    for node, text, linked, _ in live:
+        above = _above(node)
+        if any(id(n) in roots for n in above):
+            continue
+        at = next(i for i, n in enumerate(above) if id(n) in spine)
+        if not spine[id(above[at])]:
+            continue
+        own = beside.setdefault(id(above[at - 1]) if at else -id(node), [above[at - 1].path if at else f"{node.path}>#text", 0, 0, False])
+        size = len(text.strip())
+        own[1:] = [own[1] + size, own[2] + linked * size, own[3] or node.heading]
+    reads = {path for path, size, linked, heading in beside.values() if 2 * linked <= size and (heading or size >= LEAST_TEXT)}
+    return [best, *sorted(reads - {best})], sorted({path for path, *_ in beside.values()} - reads - {best})
+
+
 def _widened(live: list[tuple[Node, str, bool, bool]], paths: set[str]) -> set[int]:
-    """The elements whose text is the page's: for each container on one of the paths the nearest article or
+    """The elements whose text is the page's: for each one on one of the paths the nearest article or
     main around it; where there is none, the smallest element that holds it and the page's first h1, or,
     if that is the whole body, the container and the h1."""
     held: dict[int, Node] = {}
@@ -202,9 +269,7 @@ def _widened(live: list[tuple[Node, str, bool, bool]], paths: set[str]) -> set[i
             continue
         if title is None and node.tag == "h1" and not linked:
             title = node
-        for at in _above(container_of(node)):
-            if at.path in paths and (at.tag in CONTAINERS):
-                held[id(at)] = at
+        held.update((id(at), at) for at in _above(node) if at.path in paths)
     of_title = {id(n) for n in _above(title)}
     roots: set[int] = set()
     for at in held.values():
@@ -224,15 +289,15 @@ def _widened(live: list[tuple[Node, str, bool, bool]], paths: set[str]) -> set[i
     return roots
 
 
-def text_on(page: Page, *paths: str) -> str:
-    """Text of the containers on the paths, widened, in page order."""
+def text_on(page: Page, paths: set[str]) -> str:
+    """Text of the elements on the paths, widened, in page order."""
     live = _live(page)
-    roots = _widened(live, set(paths))
+    roots = _widened(live, paths)
     inside: dict[int, bool] = {}
     out: list[str] = []
     for node, text, _, fresh in live:
         if id(node) not in inside:
-            inside[id(node)] = any(id(n) in roots for n in _above(node))
+            inside[id(node)] = f"{node.path}>#text" in paths or any(id(n) in roots for n in _above(node))
         if inside[id(node)]:
             out.append((" " if fresh else "") + text)
         elif out:
@@ -240,61 +305,59 @@ def text_on(page: Page, *paths: str) -> str:
     return " ".join("".join(out).split())
 
 
-def extract(html: str, host_path: str | None, beaten: set[str] | None = None) -> str:
-    """Text on the host's path. Where the page's own best path never was on a page that voted for the
-    host's (it isn't in ``beaten``), the vote says nothing of it, and the text on both stays."""
+def extract(html: str, won: set[str], lost: set[str]) -> str:
+    """Text on the page's own and the host's paths, without those lost for the host if enough is left."""
     page = parse(html)
-    scores = path_scores(page)
-    own = best_path(scores)
-    if own is None:
+    chosen, others = choice(page)
+    if not chosen:
         return ""
-    if not host_path or host_path == own or host_path not in scores:
-        return text_on(page, own)
-    both = text_on(page, own, host_path)
-    if own in (beaten or ()):
-        text = text_on(page, host_path)
-        if len(text) >= LEAST_SHARE * len(text_on(page, own)):
-            return text
-    return both
+    own = {*chosen, *(p for p in others if p in won)}
+    whole = text_on(page, own)
+    if own.isdisjoint(lost) or own <= lost:
+        return whole
+    text = text_on(page, own - lost)
+    return text if len(text) >= LEAST_SHARE * len(whole) else whole
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, host_path, beaten``: the path with most votes, and the best paths of other pages that pages
-    voting for it have too. A page's vote is its best path's share of scores."""
+    """``host, host_path, won, lost``: the path that most pages choose, and the contested paths, which some
+    but not all of the pages that have them choose: won if half of these do."""
 
     def run(batches):
         for batch in batches:
-            paths, votes, others = [], [], []
-            for html in batch.column("html"):
-                scores = path_scores(parse(html.as_py() or ""))
-                best = best_path(scores)
-                paths.append(best)
-                votes.append(round(1000 * scores[best] / sum(scores.values())) if best else 0)
-                others.append([p for p in scores if p != best])
-            columns = [batch.column("host"), pa.array(paths, pa.string()), pa.array(votes, pa.int64()), pa.array(others, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "vote", "others"])
+            found = [choice(parse(html.as_py() or "")) for html in batch.column("html")]
+            columns = [pa.array([x[i] for x in found], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], names=["host", "chosen", "others"])
 
     asked = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
-    votes = cut(asked.mapInArrow(run, "host string, path string, vote long, others array<string>").where("path IS NOT NULL"), "votes", codec="zstd")
-    totals = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    winners = totals.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path")).alias("best")).select("host", F.col("best.path").alias("host_path"))
-    seen = votes.select("host", "path", F.explode("others").alias("other")).distinct()
-    # Only paths that are the best one of some page matter.
-    lost = seen.join(winners, "host").where(F.col("path") == F.col("host_path")).select("host", F.col("other").alias("path"))
-    lost = lost.join(totals, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set("path").alias("beaten"))
-    return winners.join(lost, "host", "left")
+    choices = asked.mapInArrow(run, "host string, chosen array<string>, others array<string>")
+    vote = F.concat(F.transform("chosen", lambda p: F.struct(p.alias("path"), F.lit(1).alias("vote"))), F.transform("others", lambda p: F.struct(p.alias("path"), F.lit(0).alias("vote"))))
+    votes = choices.select("host", F.explode(vote).alias("x")).groupBy("host", "x.path").agg(F.sum("x.vote").alias("votes"), F.count("*").alias("pages"))
+    contested = F.col("votes").between(1, F.col("pages") - 1)
+    return (
+        votes.where("votes > 0")
+        .groupBy("host")
+        .agg(
+            F.min(F.struct(-F.col("votes"), "path")).alias("best"),
+            F.collect_list(F.when(contested & (2 * F.col("votes") >= F.col("pages")), F.col("path"))).alias("won"),
+            F.collect_list(F.when(contested & (2 * F.col("votes") < F.col("pages")), F.col("path"))).alias("lost"),
+        )
+        .select("host", F.col("best.path").alias("host_path"), "won", "lost")
+    )
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per page ``page_id, url, text, n_chars, host_path``."""
     small_batches(pages.sparkSession)
-    winners = bounded_broadcast(cut(host_paths(pages), "host-paths").withColumnRenamed("host", "voted"), MAX_BROADCAST_HOSTS)
-    asked = pages.select(F.col("page_id").cast("long"), "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host")).join(winners, F.col("host") == F.col("voted"), "left")
+    winners = cut(host_paths(pages), "host-paths").withColumnRenamed("host", "voted")
+    width = F.octet_length("voted") + F.octet_length("host_path") + sum(F.octet_length(F.concat_ws(" ", c)) for c in ("won", "lost"))
+    asked = pages.select(F.col("page_id").cast("long"), "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
+    asked = asked.join(bounded_broadcast(winners, MAX_BROADCAST_HOSTS, width), F.col("host") == F.col("voted"), "left")
 
     def run(batches):
         for batch in batches:
-            texts = [extract(html.as_py() or "", path.as_py(), set(beaten.as_py() or ())) for html, path, beaten in zip(*(batch.column(c) for c in ("html", "host_path", "beaten")))]
+            texts = [extract(html.as_py() or "", set(won.as_py() or ()), set(lost.as_py() or ())) for html, won, lost in zip(*(batch.column(c) for c in ("html", "won", "lost")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("host_path")], names=["page_id", "url", "text", "host_path"])
 
-    texts = asked.select("page_id", "url", "html", "host_path", "beaten").mapInArrow(run, "page_id long, url string, text string, host_path string")
+    texts = asked.select("page_id", "url", "html", "host_path", "won", "lost").mapInArrow(run, "page_id long, url string, text string, host_path string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host_path")

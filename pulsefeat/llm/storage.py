@@ -10,11 +10,12 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 4 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +63,8 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only if a count proves it small; otherwise Spark shuffles it."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int, width: Column | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast only if a count proves it small; otherwise Spark shuffles it. ``width``
+    gives the bytes of a row where rows have no bound of their own."""
+    some = df.limit(max_rows + 1).agg(F.count("*"), F.sum(F.lit(0) if width is None else width)).first()
+    return F.broadcast(df) if some[0] <= max_rows and (some[1] or 0) <= BROADCAST_BYTES else df

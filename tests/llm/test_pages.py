@@ -3,6 +3,8 @@
 import datetime
 import hashlib
 import io
+import random
+import re
 
 import duckdb
 
@@ -73,6 +75,55 @@ def test_host_does_not_overrule_what_its_voters_lack(spark):
     assert got[9].text == ("the summary says so " * 8 + "the long body goes on " * 12).strip() and got[1].text == ("the summary says so " * 8).strip()
 
 
+STORY = "".join(f"<p>Paragraph {c} of the story goes on and on for a while.</p>" for c in "abcdefgh")
+PLAIN = " ".join(f"Paragraph {c} of the story goes on and on for a while." for c in "abcdefgh")
+
+
+def test_ordinary_html_loses_nothing(spark):
+    noise = "<nav><a href=x>Home</a></nav><footer>c 2020</footer>"
+    intro = "An introduction of some length that stands in a block of its own."
+    cases = [
+        (f"<html><head><title>T</title><meta charset=utf-8><body>{noise}<article>{STORY}</article></body></html>", PLAIN),
+        (f"<html><head><title>T</title><style>p{{}}</style><div>{STORY}</div></html>", PLAIN),
+        (f"<head><title>T</title>{PLAIN}", PLAIN),
+        (page(f"<form id=aspnetForm><input type=hidden>{noise}<div class=content>{STORY}</div><button>Go</button></form>"), PLAIN),
+        (page(f"<form><label>Mail address of the reader</label><input></form><div class=content>{STORY}</div>"), PLAIN),
+        (page(f"{noise}<div class=intro><p>{intro}</p></div><div class=body>{STORY}</div>"), f"{intro} {PLAIN}"),
+        (page(f"{noise}<div class=a><div class=intro><p>{intro}</p></div></div><div class=b><div class=body>{STORY}</div></div>"), f"{intro} {PLAIN}"),
+        (page(f"{noise}<h2>A heading</h2><div class=body>{STORY}</div>{intro}"), f"A heading {PLAIN} {intro}"),
+        (page(f"{noise}<ul><li><a href=a>One link that leads elsewhere</a><li><a href=b>Another link that leads on</a></ul><div class=body>{STORY}</div>"), PLAIN),
+        (page(f"<main><div class=intro><p>{intro}</p></div><article>{STORY}</article></main><div><p>{intro}</p></div>"), f"{intro} {PLAIN}"),
+        (page(f"<article>{STORY}<div class=social-science><p>Science.</p></div><div class=social-links>Share</div><section class=discussion><p>Discussed.</p></section><div id=post-comments><p>Reader.</p></div></article>"), f"{PLAIN} Science. Discussed."),
+        (page(f"<div>{STORY}</div><section class=discussion><p>{'A reader says so. ' * 9}</p></section>"), PLAIN),
+        (page(f"<article>{'<p>' + 'x' * 400_000 + '</p>'}{'<b>' * 3000}{STORY}</article>"), "x" * 400_000 + " " + PLAIN),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.example.com/", h, "", "clash", "clash") for i, (h, _) in enumerate(cases)], PAGES + ", text string, host string")
+    got = html_extract.main_texts(df).orderBy("page_id").collect()
+    assert [(r.page_id, r.text) for r in got] == [(i, want) for i, (_, want) in enumerate(cases)]
+
+
+def test_known_articles_of_generated_hosts(spark):
+    """Several layouts, one for each host, with short and long texts in each part; what is no article has
+    class names that say nothing, so that only the host's pages together tell."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["water", "stone", "light", "seven", "cold", "river", "house", "over"]) for _ in range(n)).capitalize() + "."
+    layouts = [
+        "<nav><a href=/>Home</a></nav><article><h1>{0}</h1><p>{1}</p><div class=e>{2}</div></article><aside>{3}</aside>",
+        "<div class=w><h1>{0}</h1><p>{1}</p><div class='e x{4}'>{2}</div></div><div class=ads>{3}</div>",
+        "<div class=k{4}><p>{0}</p></div><div class=l><p>{1}</p></div><div class=m>{2}</div><div class=z><a href=q>{3}</a></div>",
+        "<main><section class=t><h2>{0}</h2></section><section class=u><p>{1}</p>{2}</section></main><div class=z><p>{3}</p></div>",
+    ]
+    rows, want = [], {}
+    for i in range(400):
+        layout = i % 4
+        parts = [say(rng.randint(5, 12)), say(rng.randint(4, 60)), "".join(f"<p>{say(rng.randint(5, 60))}</p>" for _ in range(rng.randint(3, 9))), say(rng.randint(3, 12))]
+        rows.append((i, f"http://host{layout}.example.com/{i}", page(layouts[layout].format(*parts, i)), ""))
+        want[i] = " ".join(re.sub("<[^>]*>", " ", " ".join(parts[:3])).split())
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert not wrong, (len(wrong), got[wrong[0]], want[wrong[0]])
+
+
 def test_archives_round_trip(spark):
     big = "<p>é" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(3, "http://a/", big, ""), (1, "http://b/ c", big, ""), (7, None, big, ""), (4, "http://d/", "short", ""), (5, "http://e/", "short", ""), (6, "http://f/", None, ""), (8, "http://g/", big + "z", "")]
