@@ -24,12 +24,30 @@ ALIASES = {
     "machine failure": "machine_failure",
     "failure": "machine_failure",
     "target": "machine_failure",
-    "machine id": "machine_id",
     "twf": "twf",
     "hdf": "hdf",
     "pwf": "pwf",
     "osf": "osf",
     "rnf": "rnf",
+    "timestamp": "timestamp",
+    "machine id": "machine_id",
+}
+#: Further names, which count only where no column has one of the names above for the same.
+OTHER_ALIASES = {
+    "unique id": "uid",
+    "unique identifier": "uid",
+    "product type": "type",
+    "air temp": "air_temperature_k",
+    "process temp": "process_temperature_k",
+    "failure flag": "machine_failure",
+    "date": "timestamp",
+    "datetime": "timestamp",
+    "date time": "timestamp",
+    "time": "timestamp",
+    "machineid": "machine_id",
+    "machine identifier": "machine_id",
+    "asset id": "machine_id",
+    "equipment id": "machine_id",
 }
 SENSORS = ["air_temperature_k", "process_temperature_k", "rotational_speed_rpm", "torque_nm", "tool_wear_min"]
 FAILURE_MODES = ["twf", "hdf", "pwf", "osf", "rnf"]
@@ -52,11 +70,11 @@ def feature_name(group: str, source: str, operation: str) -> str:
 
 def canonical_names(columns: list[str]) -> list[str]:
     """Each column's canonical name, or its own cleaned name; two columns of one name are an error."""
-    out = []
-    for column in columns:
-        clean = " ".join(column.replace("﻿", "").split())
-        key = " ".join(re.sub(r"[\[\]_()]", " ", clean.lower()).split())
-        out.append(ALIASES.get(key, clean))
+    cleaned = [" ".join(column.replace("﻿", "").split()) for column in columns]
+    keys = [" ".join(re.sub(r"[\[\]_()]", " ", clean.lower()).split()) for clean in cleaned]
+    taken = {ALIASES[key] for key in keys if key in ALIASES}
+    other = {key: name for key, name in OTHER_ALIASES.items() if name not in taken}
+    out = [ALIASES.get(key, other.get(key, clean)) for key, clean in zip(keys, cleaned)]
     repeated = sorted({n for n in out if out.count(n) > 1})
     if repeated:
         raise ValueError(f"several columns mean {repeated}")

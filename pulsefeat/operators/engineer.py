@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulsefeat.functions.names import IDENTIFIERS, LABELS, SENSORS, TARGET
 from pulsefeat.functions.safe import EPSILON, finite, numeric
 from pulsefeat.operators import families as fam
+from pulsefeat.operators.order import exact_quantiles
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 PARSED_SHARE = 0.95
@@ -143,7 +144,7 @@ class FeatureEngineer:
         features += fam.physical(df) + fam.tool_wear(df, None if s.parity_wear else max_wear) + fam.differences(df) + fam.ratios(df) + fam.interactions(df) + fam.operating(df)
         for more in self.extra:
             features += more(df)
-        out = fam.add(df, features)
+        out = fam.add(fam.with_top_wear(df) if s.parity_wear else df, features).drop(fam.TOP_WEAR)
         if has_time:
             out = fam.elapsed(out, s.timestamp, s.machine, s.tiebreak)
             features.append(fam.Feature("time__elapsed_seconds", "time", (s.timestamp,), "elapsed", F.col("time__elapsed_seconds")))
@@ -166,13 +167,14 @@ class FeatureEngineer:
         statistics = []
         for i, c in enumerate(numbers):
             column = F.col(f"`{c}`").cast("double")
-            statistics += [F.percentile(column, F.lit(0.5)).alias(f"m{i}"), F.avg(column).alias(f"a{i}"), F.stddev_pop(column).alias(f"d{i}")]
+            statistics += [F.avg(column).alias(f"a{i}"), F.stddev_pop(column).alias(f"d{i}")]
         statistics += [F.count(F.lit(1)).alias("rows"), F.count(F.col(s.timestamp) if s.timestamp else F.lit(None)).alias("timed")]
         row = df.agg(*statistics).first()
+        medians = exact_quantiles(df, numbers, [0.5])
         learned = Learned(inputs=df.columns)
         for i, c in enumerate(numbers):
-            if row[f"m{i}"] is not None:
-                learned.medians[c], learned.means[c] = row[f"m{i}"], row[f"a{i}"]
+            if medians[c] is not None:
+                learned.medians[c], learned.means[c] = medians[c][0], row[f"a{i}"]
                 learned.deviations[c] = row[f"d{i}"] if row[f"d{i}"] > EPSILON else 1.0
         learned.has_time = bool(s.timestamp) and s.timestamp.lower() not in ("uid", "udi") and row["timed"] >= PARSED_SHARE * row["rows"]
         if "tool_wear_min" in numbers:

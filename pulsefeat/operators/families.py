@@ -24,6 +24,7 @@ PERIODS = (1, 3, 5)
 Z_WINDOWS = (5, 10, 20)
 Z_LIMIT = 3.0
 #: Physical limits of the operating rules.
+TOP_WEAR = "__top_wear"
 LOW_RPM, SMALL_GAP, HIGH_WEAR, CRITICAL_WEAR, POWER_LOW, POWER_HIGH = 1380.0, 8.6, 200.0, 240.0, 3500.0, 9000.0
 RAD_PER_S = 2 * math.pi / 60
 
@@ -128,13 +129,18 @@ def physical(df: DataFrame) -> list[Feature]:
     return out
 
 
+def with_top_wear(df: DataFrame) -> DataFrame:
+    """``df`` with the batch's largest tool wear in every row, from an aggregate of one row."""
+    return df.crossJoin(F.broadcast(df.agg(F.max(WEAR).alias(TOP_WEAR)))) if _has(df, WEAR) else df
+
+
 def tool_wear(df: DataFrame, fitted_max: float | None = None) -> list[Feature]:
     """With ``fitted_max`` the normalised wear uses the training maximum; without it the maximum of
-    the batch, which looks at later rows and is marked as not causal."""
+    the batch (``with_top_wear``), which looks at later rows and is marked as not causal."""
     if not _has(df, WEAR):
         return []
     w = F.col(WEAR)
-    top = F.lit(fitted_max) if fitted_max is not None else F.max(w).over(Window.partitionBy())
+    top = F.lit(fitted_max) if fitted_max is not None else F.col(TOP_WEAR)
     return [
         _feature("tool_wear", "square", "", w * w, [WEAR]),
         _feature("tool_wear", "sqrt", "", safe_sqrt(w), [WEAR]),
@@ -158,7 +164,7 @@ def ratios(df: DataFrame) -> list[Feature]:
 
 
 def interactions(df: DataFrame) -> list[Feature]:
-    pairs = [("process_temperature_x_tool_wear", PROCESS, WEAR), ("torque_x_tool_wear", TORQUE, WEAR), ("rotational_speed_x_tool_wear", RPM, WEAR)]
+    pairs = [("process_temperature_x_tool_wear", PROCESS, WEAR), ("torque_x_tool_wear", TORQUE, WEAR), ("rpm_x_tool_wear", RPM, WEAR)]
     out = [_feature("interaction", name, "", F.col(a) * F.col(b), [a, b]) for name, a, b in pairs if _has(df, a, b)]
     if _has(df, PROCESS, AIR, TORQUE):
         out.append(_feature("interaction", "temperature_gap_x_torque", "", (F.col(PROCESS) - F.col(AIR)) * F.col(TORQUE), [PROCESS, AIR, TORQUE]))
@@ -175,7 +181,7 @@ def operating(df: DataFrame) -> list[Feature]:
         rules += [("high_tool_wear_flag", F.col(WEAR) >= HIGH_WEAR, [WEAR]), ("critical_tool_wear_window_flag", F.col(WEAR).between(HIGH_WEAR, CRITICAL_WEAR), [WEAR])]
     if _has(df, TORQUE, RPM):
         rules.append(("power_outside_range_flag", (power_w() < POWER_LOW) | (power_w() > POWER_HIGH), [TORQUE, RPM]))
-    return [_feature("operating", name, "", flag(rule), sources) for name, rule, sources in rules]
+    return [_feature("operating_condition", name, "", flag(rule), sources) for name, rule, sources in rules]
 
 
 def global_zscores(means: dict[str, float], deviations: dict[str, float]) -> list[Feature]:

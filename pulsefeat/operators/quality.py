@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefeat.functions.safe import finite
+from pulsefeat.operators.order import exact_quantiles
 from pulsefeat.operators.engineer import duplicate_columns, numeric_columns
 from pulsefeat.operators.validation import long_form
 
 MISSING, NEAR_CONSTANT, HIGH_CORRELATION, TARGET_CORRELATION, UNIQUE_RATIO = 0.30, 0.995, 0.95, 0.80, 0.98
 LEAK_CORRELATION = 0.99
-#: Columns of quantiles per aggregate: exact percentiles keep a value's count in memory.
-QUANTILE_COLUMNS = 16
 
 
 def skewness(c: Column) -> Column:
@@ -39,15 +38,8 @@ def numeric_inputs(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """``feature, q`` (an array of exact, interpolated quantiles)."""
-    parts = []
-    for lo in range(0, len(columns), QUANTILE_COLUMNS):
-        some = columns[lo : lo + QUANTILE_COLUMNS]
-        row = df.agg(*[F.percentile(F.col(f"`{c}`"), F.array(*[F.lit(float(s)) for s in shares])).alias(f"q__{i}") for i, c in enumerate(some)])
-        parts.append(long_form(row, some, ["q"], "feature"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = exact_quantiles(df, columns, shares)
+    return df.sparkSession.createDataFrame([(c, found[c]) for c in columns], "feature string, q array<double>")
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:

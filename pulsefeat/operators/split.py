@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pulsefeat.functions.names import IDENTIFIERS, LABELS, TARGET
 
 PARTS = ("train", "validation", "test")
+#: Hexadecimal digits of a hash by which rows are counted; classes are few, so the counts are.
+PREFIX = 3
 
 
 def check_sizes(sizes: Sequence[float]) -> None:
@@ -18,19 +20,30 @@ def check_sizes(sizes: Sequence[float]) -> None:
 
 
 def stratified(df: DataFrame, key: str, target: str = TARGET, sizes: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """Adds ``split``. Rows of each class are ordered by a hash of key and seed and cut by exact shares.
+    """Adds ``split``. Rows of each class are ordered by a hash of key and seed and cut by exact shares;
+    rows of one key stay together, on the side of the first of them.
 
-    The window is over a class. Where a class holds more rows than a task should sort, use ``hashed``,
-    whose shares are exact in expectation and which shuffles nothing.
+    No class is sorted. Rows are counted per class and prefix of the hash; only rows of the prefixes in
+    which the two cuts of a class fall are ranked, and the hashes at the cuts are joined to all rows.
     """
     check_sizes(sizes)
-    order = Window.partitionBy(target).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), F.col(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(target))
-    place = F.row_number().over(order)
     # Shares in per cent, so that the borders are those of whole-number arithmetic.
-    first, second = round(100 * sizes[0]), round(100 * (sizes[0] + sizes[1]))
-    part = F.when(place <= F.floor(n * first / 100), "train").when(place <= F.floor(n * second / 100), "validation").otherwise("test")
-    return df.withColumn("split", part)
+    shares = round(100 * sizes[0]), round(100 * (sizes[0] + sizes[1]))
+    order = F.coalesce(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), F.lit(""))
+    hashed_rows = df.select(F.col(target).alias("__class"), order.alias("__order"), F.substring(order, 1, PREFIX).alias("__prefix"))
+    counts = hashed_rows.groupBy("__class", "__prefix").agg(F.count(F.lit(1)).alias("__rows"))  # 16 ** PREFIX rows a class at most
+    by_class = Window.partitionBy("__class")
+    counts = counts.withColumns({"__upto": F.sum("__rows").over(by_class.orderBy("__prefix")), "__n": F.sum("__rows").over(by_class)})
+    cut = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), F.floor(F.col("__n") * s / 100).alias("rank")) for i, s in enumerate(shares)]))
+    borders = counts.select("*", cut.alias("__at")).where((F.col("__at.rank") <= F.col("__upto")) & (F.col("__at.rank") > F.col("__upto") - F.col("__rows")))
+    borders = borders.select(F.col("__class").alias("__of"), F.col("__prefix").alias("__in"), "__at.cut", (F.col("__at.rank") - F.col("__upto") + F.col("__rows")).alias("__rank"))
+    near = hashed_rows.join(F.broadcast(borders), F.col("__class").eqNullSafe(F.col("__of")) & (F.col("__prefix") == F.col("__in")))
+    place = F.row_number().over(Window.partitionBy("__class", "cut").orderBy("__order"))
+    cuts = near.withColumn("__place", place).where("__place = __rank")
+    cuts = cuts.groupBy(F.col("__class").alias("__of")).agg(*[F.max(F.when(F.col("cut") == i, F.col("__order"))).alias(f"__cut{i}") for i in (0, 1)])
+    joined = df.join(F.broadcast(cuts), F.col(target).eqNullSafe(F.col("__of")), "left")
+    part = F.when(order <= F.col("__cut0"), "train").when(order <= F.col("__cut1"), "validation").otherwise("test")
+    return joined.withColumn("split", part).drop("__of", "__cut0", "__cut1")
 
 
 def hashed(df: DataFrame, key: str, sizes: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pulsefeat.functions.names import SENSORS
 from pulsefeat.operators import families as fam
 from pulsefeat.operators import plots, quality, split, validation
+from pulsefeat.operators.order import exact_quantiles
 from pulsefeat.operators.engineer import FeatureEngineer, Settings, constant_columns, duplicate_columns, group_counts
 from pulsefeat.sources.shared import shared_path
+from pulsefeat.sources.tables import normalized
 from pulsefeat.sources.views import AI4I_SQL, GAP_SQL, machines, machines_with_gaps, telemetry
 from pulsefeat.streaming import online
 from pulsefeat.streaming.machine import OnlineSettings
@@ -24,6 +26,7 @@ ORACLES: dict[str, str] = {}
 
 M = f"WITH m AS ({AI4I_SQL}) "
 G = f"WITH g AS ({GAP_SQL}) "
+SPLIT = M + ", s AS (SELECT *, row_number() OVER (PARTITION BY machine_failure ORDER BY md5(uid || '42'), uid) AS place, count(*) OVER (PARTITION BY machine_failure) AS n FROM m), p AS (SELECT *, CASE WHEN place <= floor(n * 70 / 100) THEN 'train' WHEN place <= floor(n * 85 / 100) THEN 'validation' ELSE 'test' END AS split FROM s) "
 RAD = "0.10471975511965977::DOUBLE"
 POWER = f"(torque_nm * rotational_speed_rpm * {RAD})"
 ONLINE = OnlineSettings(sensors=("value",))
@@ -219,7 +222,7 @@ def difference_ratio(spark, sf_dir):
 
 @query(
     M + "SELECT uid, "
-    + sql_round("process_temperature_k * tool_wear_min AS interaction__process_temperature_x_tool_wear", "torque_nm * tool_wear_min AS interaction__torque_x_tool_wear", "rotational_speed_rpm * tool_wear_min AS interaction__rotational_speed_x_tool_wear", "(process_temperature_k - air_temperature_k) * torque_nm AS interaction__temperature_gap_x_torque")
+    + sql_round("process_temperature_k * tool_wear_min AS interaction__process_temperature_x_tool_wear", "torque_nm * tool_wear_min AS interaction__torque_x_tool_wear", "rotational_speed_rpm * tool_wear_min AS interaction__rpm_x_tool_wear", "(process_temperature_k - air_temperature_k) * torque_nm AS interaction__temperature_gap_x_torque")
     + " FROM m"
 )
 def interactions(spark, sf_dir):
@@ -230,7 +233,7 @@ def interactions(spark, sf_dir):
 OPERATING = {"low_rpm_flag": "rotational_speed_rpm < 1380", "small_temperature_gap_flag": "process_temperature_k - air_temperature_k < 8.6::DOUBLE", "high_tool_wear_flag": "tool_wear_min >= 200", "critical_tool_wear_window_flag": "tool_wear_min BETWEEN 200 AND 240", "power_outside_range_flag": f"{POWER} < 3500 OR {POWER} > 9000"}
 
 
-@query(G + "SELECT uid, " + ", ".join(f"CASE WHEN {e} THEN 1 ELSE 0 END AS operating__{k}" for k, e in OPERATING.items()) + " FROM g")
+@query(G + "SELECT uid, " + ", ".join(f"CASE WHEN {e} THEN 1 ELSE 0 END AS operating_condition__{k}" for k, e in OPERATING.items()) + " FROM g")
 def operating_flags(spark, sf_dir):
     df = machines_with_gaps(spark, sf_dir)
     return df.select(*of(fam.operating(df), ["uid"]))
@@ -242,17 +245,38 @@ def operating_flags(spark, sf_dir):
 @query(G + "SELECT uid, " + sql_round(*[f"coalesce({c}, (SELECT median({c}) FROM g)) AS {c}" for c in SENSORS]) + " FROM g")
 def learned_imputation(spark, sf_dir):
     df = machines_with_gaps(spark, sf_dir)
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in SENSORS]).first().asDict()
+    medians = {c: m[0] for c, m in exact_quantiles(df, SENSORS, [0.5]).items() if m}
     return r6(df.fillna(medians).select("uid", *SENSORS))
 
 
-@query("SELECT * FROM (VALUES ('fixed'), ('nothing')) t(column_name)")
+PHYSICAL_SQL = {
+    "physical__temperature_gap_k": "process_temperature_k - air_temperature_k", "physical__mechanical_power_w": POWER, "physical__mechanical_power_kw": f"{POWER} / 1000", "physical__torque_speed_interaction": "torque_nm * rotational_speed_rpm",
+    "physical__torque_per_rpm": "torque_nm / rotational_speed_rpm", "physical__angular_velocity_rad_s": f"rotational_speed_rpm * {RAD}", "difference__process_minus_air_temperature": "process_temperature_k - air_temperature_k",
+    "ratio__process_to_air_temperature_ratio": "process_temperature_k / air_temperature_k", "ratio__torque_to_speed_ratio": "torque_nm / rotational_speed_rpm",
+}
+
+
+def _equal_pairs_sql(names: dict[str, str]) -> str:
+    """Pairs of equal columns, each column only with the first that it equals."""
+    order = list(names)
+    table = M + ", x AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in names.items()) + " FROM m), e AS ("
+    pairs = " UNION ALL ".join(f"SELECT {i} AS place, '{a}' AS kept, '{b}' AS duplicate FROM x HAVING count(*) FILTER ({a} IS DISTINCT FROM {b}) = 0" for i, a in enumerate(order) for b in order[i + 1 :])
+    return table + pairs + ") SELECT arg_min(kept, place) AS kept, duplicate FROM e GROUP BY duplicate"
+
+
+CONSTANTS = ["uid", "type", *SENSORS, "fixed", "nothing", "sometimes"]
+
+
+@query(
+    M + ", x AS (SELECT *, 1 AS fixed, NULL::DOUBLE AS nothing, CASE WHEN torque_nm > 20 THEN 1 END AS sometimes FROM m) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name FROM x HAVING count({c}) = 0 OR (count({c}) = count(*) AND count(DISTINCT {c}) = 1)" for c in CONSTANTS)
+)
 def constant_columns_found(spark, sf_dir):
     df = machines(spark, sf_dir).select("*", F.lit(1).alias("fixed"), F.lit(None).cast("double").alias("nothing"), F.expr("CASE WHEN torque_nm > 20 THEN 1 END").alias("sometimes"))
     return spark.createDataFrame([(c,) for c in constant_columns(df, [c for c in df.columns if c != "machine_failure"])], "column_name string")
 
 
-@query("SELECT * FROM (VALUES ('difference__process_minus_air_temperature', 'physical__temperature_gap_k'), ('ratio__torque_to_speed_ratio', 'physical__torque_per_rpm')) t(duplicate, kept)")
+@query(_equal_pairs_sql(PHYSICAL_SQL))
 def duplicate_columns_found(spark, sf_dir):
     df = machines(spark, sf_dir)
     features = fam.physical(df) + fam.differences(df) + fam.ratios(df)
@@ -280,7 +304,7 @@ def feature_summary(spark, sf_dir):
     return r6(s.withColumn("std", std).select("feature", *STATS))
 
 
-@query("SELECT * FROM (VALUES ('missingness', 7), ('physical', 6), ('operating', 5), ('tool_wear', 5), ('interaction', 4), ('ratio', 2), ('difference', 1)) t(feature_group, features)")
+@query("SELECT * FROM (VALUES ('missingness', 7), ('physical', 6), ('operating_condition', 5), ('tool_wear', 5), ('interaction', 4), ('ratio', 2), ('difference', 1)) t(feature_group, features)")
 def feature_group_counts(spark, sf_dir):
     df = machines(spark, sf_dir)
     engineer = FeatureEngineer(Settings())
@@ -300,6 +324,36 @@ def engineered_test_split(spark, sf_dir):
     return r6(model.transform(parts.where("split = 'test'").drop("split")).select("uid", "machine_failure", *SENSORS, "physical__mechanical_power_w"))
 
 
+@query(
+    SPLIT + "SELECT uid, " + sql_round("tool_wear_min / greatest((SELECT max(tool_wear_min) FROM p WHERE split = 'test'), 1) AS tool_wear__cumulative_normalized", "200 - tool_wear_min AS tool_wear__distance_to_200_min") + ", CASE WHEN tool_wear_min >= 200 THEN 1 ELSE 0 END AS operating_condition__high_tool_wear_flag FROM p WHERE split = 'test'"
+)
+def engineered_wear(spark, sf_dir):
+    """The default fit and transform, whose normalised wear looks at the batch's maximum."""
+    parts = split.stratified(machines(spark, sf_dir), "uid")
+    model = FeatureEngineer(Settings(missing_indicators=False)).fit(parts.where("split = 'train'").drop("split"))
+    table = model.transform(parts.where("split = 'test'").drop("split"))
+    return r6(table.select("uid", "tool_wear__cumulative_normalized", "tool_wear__distance_to_200_min", "operating_condition__high_tool_wear_flag"))
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS rolling__value__mean_3, round(max(value) OVER w, 6) AS rolling__value__max_3 FROM events WHERE user_id = (SELECT min(user_id) FROM events) WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
+def rolling_ungrouped(spark, sf_dir):
+    """Windows of a table without a machine column: one machine's rows, one sequence."""
+    df = telemetry(spark, sf_dir).join(F.broadcast(spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("user_id").alias("machine_id"))), "machine_id", "left_semi")
+    w = fam.history(None, "timestamp", ["seq"])
+    wanted = {f.name: f.column for f in fam.rolling("value", w, (3,), ("mean", "max"))}
+    return r6(df.select(F.col("seq").alias("event_id"), *[column.alias(name) for name, column in wanted.items()]))
+
+
+@query(M + "SELECT uid, type, machine_failure, " + sql_round(*[f"{c} AS {c}" for c in SENSORS]) + " FROM m")
+def canonical_columns(spark, sf_dir):
+    """A table under raw names gets the canonical ones, numbers out of texts, and no empty rows."""
+    raw = {"uid": "Unique Identifier", "type": "Product_Type", "air_temperature_k": "Air temp", "process_temperature_k": "Process temperature [K]", "rotational_speed_rpm": "RPM", "torque_nm": " Torque  [Nm]", "tool_wear_min": "tool_wear", "machine_failure": "failure flag"}
+    df = machines(spark, sf_dir)
+    given = df.select(*[F.col(c).cast("string" if c in SENSORS else kind).alias(raw[c]) for c, kind in df.dtypes if c in raw])
+    empty = given.limit(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in given.dtypes])
+    return r6(validation.convert_numeric(normalized(given.union(empty)), SENSORS, strict=True))
+
+
 # --- validation and profiling -------------------------------------------------------------------
 
 
@@ -366,15 +420,13 @@ def mode_detection(spark, sf_dir):
 
 # --- splits -------------------------------------------------------------------------------------
 
-SPLIT = M + ", s AS (SELECT *, row_number() OVER (PARTITION BY machine_failure ORDER BY md5(uid || '42'), uid) AS place, count(*) OVER (PARTITION BY machine_failure) AS n FROM m), p AS (SELECT *, CASE WHEN place <= floor(n * 70 / 100) THEN 'train' WHEN place <= floor(n * 85 / 100) THEN 'validation' ELSE 'test' END AS split FROM s) "
-
 
 @query(SPLIT + "SELECT split, machine_failure, count(*) AS n_rows FROM p GROUP BY ALL")
 def stratified_split_sizes(spark, sf_dir):
     return split.stratified(machines(spark, sf_dir), "uid").groupBy("split", "machine_failure").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("SELECT * FROM (VALUES ('train_validation', 0::BIGINT), ('train_test', 0::BIGINT), ('validation_test', 0::BIGINT)) t(pair, shared_ids)")
+@query(SPLIT + " UNION ALL ".join(f"SELECT '{a}_{b}' AS pair, count(*) AS shared_ids FROM (SELECT uid FROM p WHERE split = '{a}' INTERSECT SELECT uid FROM p WHERE split = '{b}')" for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))))
 def split_overlap(spark, sf_dir):
     return split.overlaps(split.stratified(machines(spark, sf_dir), "uid"), "uid")
 
@@ -529,10 +581,9 @@ def quality_summary(spark, sf_dir):
 # --- online -------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id AS seq, " + ", ".join(f"lag(value, {k}) OVER w AS value_lag_{k}" for k in ONLINE.lags) + E_WINDOW)
+@query("SELECT user_id::VARCHAR AS machine_key, epoch_us(ts) AS seq, " + ", ".join(f"lag(value, {k}) OVER w AS value_lag_{k}" for k in ONLINE.lags) + E_WINDOW)
 def online_lag(spark, sf_dir):
-    w = events_window()
-    return telemetry(spark, sf_dir).select("seq", *[F.lag("value", k).over(w).alias(f"value_lag_{k}") for k in ONLINE.lags])
+    return online.replay(arrivals(spark, sf_dir), ONLINE).select("machine_key", "seq", *[f"value_lag_{k}" for k in ONLINE.lags])
 
 
 def _when(least: int, n: int, e: str) -> str:
@@ -563,7 +614,7 @@ def online_roc(spark, sf_dir):
 
 
 def arrivals(spark, sf_dir) -> DataFrame:
-    """Events with ``seq`` as their order of arrival: time, then event id, packed into a number."""
+    """Events with ``seq``, their time in microseconds, as their order of arrival; no user has two at a time."""
     df = telemetry(spark, sf_dir)
     return df.select("machine_id", "timestamp", F.col("seq").alias("event_id"), "value", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("seq"))
 
@@ -575,18 +626,14 @@ def online_ewma(spark, sf_dir):
 
 REPLAY_SQL = (
     "SELECT user_id::VARCHAR AS machine_key, epoch_us(ts) AS seq, "
-    + sql_round(*[f"lag(value, {k}) OVER w AS value_lag_{k}" for k in ONLINE.lags], *ROLLING_SQL, *[f"{z} AS value_rolling_{n}_zscore" for n, z in Z_SQL.items()], *EWMA_SQL, *ROC_SQL, "(epoch_us(ts) - lag(epoch_us(ts), 1) OVER w) / 1e6::DOUBLE AS time_since_previous_observation_seconds", "(epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING)) / 1e6::DOUBLE AS elapsed_time_since_machine_start_seconds")
+    + sql_round(*[f"lag(value, {k}) OVER w AS value_lag_{k}" for k in ONLINE.lags], *ROLLING_SQL, *[f"{z} AS value_rolling_{n}_zscore" for n, z in Z_SQL.items()], *[f"abs({z}) AS value_rolling_{n}_anomaly_score" for n, z in Z_SQL.items()], *EWMA_SQL, *ROC_SQL, "(epoch_us(ts) - lag(epoch_us(ts), 1) OVER w) / 1e6::DOUBLE AS time_since_previous_observation_seconds", "(epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING)) / 1e6::DOUBLE AS elapsed_time_since_machine_start_seconds")
     + e_frames(*ONLINE.windows)
 )
 
 
-def _without_scores(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.endswith("_anomaly_score")])
-
-
 @query(REPLAY_SQL)
 def online_replay(spark, sf_dir):
-    return r6(_without_scores(online.replay(arrivals(spark, sf_dir), ONLINE)))
+    return r6(online.replay(arrivals(spark, sf_dir), ONLINE))
 
 
 @query(REPLAY_SQL)
@@ -599,7 +646,7 @@ def stream_replay(spark, sf_dir):
     features = online.stream(spark.readStream.schema(rows.schema).parquet(source), ONLINE)
     job = features.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
-    return r6(_without_scores(spark.read.schema(features.schema).parquet(out)))
+    return r6(spark.read.schema(features.schema).parquet(out))
 
 
 @query("SELECT event_id AS seq, " + ", ".join(f"({e})::INTEGER AS time_{k}" for k, e in (("hour", "hour(ts)"), ("minute", "minute(ts)"), ("day_of_week", "isodow(ts) - 1"), ("day_of_month", "day(ts)"), ("day_of_year", "dayofyear(ts)"), ("month", "month(ts)"), ("quarter", "quarter(ts)"), ("week_of_year", "weekofyear(ts)"), ("is_weekend", "CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END"))) + " FROM events")
@@ -639,6 +686,31 @@ def online_impute(spark, sf_dir):
     return r6(online.imputed(df, ["rotational_speed_rpm", "torque_nm"], medians).select("uid", "rotational_speed_rpm", "torque_nm"))
 
 
+UPDATES = OnlineSettings(lags=(1,), windows=(3,), spans=(3,))
+READINGS = {"air_temperature_k": "295 + event_id % 7", "process_temperature_k": "304 + event_id % 11", "rotational_speed_rpm": "1200 + value", "torque_nm": "10 + event_id % 50", "tool_wear_min": "event_id % 254"}
+
+
+def _history_sql(s: str) -> list[str]:
+    """Features of a sensor's history in the whole online row, but for the exponential means (online_ewma)."""
+    out = [f"lag({s}, 1) OVER w AS {s}_lag_1", f"({s} - lag({s}, 1) OVER w) / ((epoch_us(ts) - lag(epoch_us(ts), 1) OVER w) / 1e6::DOUBLE) AS {s}_roc_1"]
+    rules = {k: (2, f"{f}({s}) OVER f3") for k, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"), ("median", "median"))}
+    z = f"CASE WHEN stddev_samp({s}) OVER f3 > 1e-8 THEN ({s} - avg({s}) OVER f3) / stddev_samp({s}) OVER f3 END"
+    rules |= {"zscore": (3, z), "anomaly_score": (3, f"abs({z})")}
+    return out + [f"CASE WHEN count({s}) OVER f3 >= {least} THEN {e} END AS {s}_rolling_3_{k}" for k, (least, e) in rules.items()]
+
+
+@query(
+    "WITH events AS (SELECT user_id, ts, event_id, " + ", ".join(f"({e})::DOUBLE AS {s}" for s, e in READINGS.items()) + " FROM events) SELECT user_id::VARCHAR AS machine_id, epoch_us(ts) AS seq, "
+    + sql_round(*[f"{s} AS {s}" for s in SENSORS], *[f"({s} IS NULL)::INTEGER::DOUBLE AS {s}_missing" for s in SENSORS], *[f"{e} AS {k}" for k, e in (ONLINE_PHYSICAL | ONLINE_INTERACTIONS).items()], *[x for s in SENSORS for x in _history_sql(s)])
+    + e_frames(3)
+)
+def online_update(spark, sf_dir):
+    """Whole rows of the online schema."""
+    rows = arrivals(spark, sf_dir).selectExpr("machine_id", "timestamp", "seq", *[f"cast({e} as double) AS {s}" for s, e in READINGS.items()])
+    rows = online.update_rows(rows, UPDATES)
+    return r6(rows.drop("timestamp", *[n for n in rows.columns if n.startswith("time_") or n.startswith("elapsed_") or "_ewm_" in n]))
+
+
 @query(
     G + "SELECT uid, concat_ws('; ', 'missing machine id', 'missing timestamp', " + ", ".join(f"CASE WHEN {c} IS NULL THEN 'missing {c}' END" for c in SENSORS) + ", 'label machine_failure is not used') AS issues FROM g"
 )

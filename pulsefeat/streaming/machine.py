@@ -12,7 +12,8 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from statistics import fmean, median, stdev
+from itertools import islice
+from statistics import median
 
 VERSION = 1
 DEFAULT_SENSORS = ("air_temperature_k", "process_temperature_k", "rotational_speed_rpm", "torque_nm", "tool_wear_min")
@@ -77,9 +78,12 @@ class MachineState:
             return None
         clean = {s: v if (v := reading.get(s)) is not None and math.isfinite(v) else None for s in settings.sensors}
         out = dict(self._features(time, clean, settings))
-        self.times = [*self.times, time][-settings.history :]
+        self.times.append(time)
+        del self.times[: -settings.history]
         for s, v in clean.items():
-            self.values[s] = [*self.values.get(s, []), v][-settings.history :]
+            past = self.values.setdefault(s, [])
+            past.append(v)
+            del past[: -settings.history]
             for n in settings.spans:
                 if v is not None:
                     self.means[f"{s}|{n}"] = out[f"{s}_ewm_{n}"]
@@ -94,22 +98,22 @@ class MachineState:
         yield "elapsed_time_since_machine_start_seconds", max(time - start, 0.0) if time is not None and start is not None else None
         for s, x in clean.items():
             past = self.values.get(s, [])
-            finite = [v for v in past if v is not None]
+            finite = list(islice((v for v in reversed(past) if v is not None), max(settings.windows)))[::-1]
             for k in settings.lags:
                 yield f"{s}_lag_{k}", past[-k] if len(past) >= k else None
             for w in settings.windows:
                 some = finite[-w:]
                 enough = len(some) >= settings.least_values
-                mean = fmean(some) if enough else None
-                std = stdev(some) if enough and len(some) > 1 else None
-                yield f"{s}_rolling_{w}_mean", mean
-                yield f"{s}_rolling_{w}_std", std
+                mean = math.fsum(some) / len(some) if some else None
+                std = math.sqrt(math.fsum((v - mean) ** 2 for v in some) / (len(some) - 1)) if len(some) > 1 else None
+                yield f"{s}_rolling_{w}_mean", mean if enough else None
+                yield f"{s}_rolling_{w}_std", std if enough else None
                 yield f"{s}_rolling_{w}_min", min(some) if enough else None
                 yield f"{s}_rolling_{w}_max", max(some) if enough else None
                 yield f"{s}_rolling_{w}_median", float(median(some)) if enough else None
                 z = None
-                if x is not None and len(some) >= settings.least_for_z and (spread := stdev(some)) > settings.epsilon:
-                    z = (x - fmean(some)) / spread
+                if x is not None and std is not None and len(some) >= settings.least_for_z and std > settings.epsilon:
+                    z = (x - mean) / std
                 yield f"{s}_rolling_{w}_zscore", z
                 yield f"{s}_rolling_{w}_anomaly_score", None if z is None else abs(z)
             for n in settings.spans:

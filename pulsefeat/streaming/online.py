@@ -69,38 +69,67 @@ def expected_features(settings: OnlineSettings) -> list[str]:
     return ["machine_id", "timestamp", *settings.sensors, *sorted([*single, *missing, *history_features(settings)])]
 
 
-def _keyed(df: DataFrame, settings: OnlineSettings, machine: str, timestamp: str, seq: str) -> DataFrame:
+def _keyed(df: DataFrame, settings: OnlineSettings, machine: str, timestamp: str, seq: str, carry: Sequence[Column] = ()) -> DataFrame:
     """Key, order, time and readings; a true ``reset`` in a row clears its machine's state before it."""
     at = F.unix_micros(observed_at(df, timestamp)) / F.lit(1e6)
     readings = [(F.col(s).cast("double") if s in df.columns else F.lit(None).cast("double")).alias(s) for s in settings.sensors]
     reset = F.coalesce(F.col("reset").cast("boolean"), F.lit(False)) if "reset" in df.columns else F.lit(False)
-    return df.select(machine_key(F.col(machine) if machine in df.columns else F.lit(None)).alias("machine_key"), F.col(seq).cast("long").alias("seq"), at.alias("at"), reset.alias("reset"), *readings)
+    return df.select(machine_key(F.col(machine) if machine in df.columns else F.lit(None)).alias("machine_key"), F.col(seq).cast("long").alias("seq"), at.alias("at"), reset.alias("reset"), *readings, *carry)
+
+
+def _in_order(keyed: DataFrame) -> DataFrame:
+    """A machine's rows together and in order. The number of partitions is given: rows are few bytes, but
+    costly, and would be coalesced by their bytes."""
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(tasks, "machine_key").sortWithinPartitions("machine_key", "seq")
 
 
 def _schema(settings: OnlineSettings) -> StructType:
     return StructType([StructField("machine_key", StringType()), StructField("seq", LongType()), *[StructField(n, DoubleType()) for n in history_features(settings)]])
 
 
-def replay(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq") -> DataFrame:
+def replay(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", carry: Column | None = None) -> DataFrame:
     """History features of stored rows, in order of ``seq`` per machine. Rows stream through a task
-    sorted; only the current machine's bounded state is held, however long its history."""
-    names = history_features(settings)
+    sorted; only the current machine's bounded state is held, however long its history. A struct ``carry``
+    goes along with each row, as the last column."""
+    names, carried = history_features(settings), carry is not None
+    keyed = _keyed(df, settings, machine, timestamp, seq, [] if carry is None else [carry.alias("carry")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, MachineState()
         for batch in batches:
-            rows = []
-            for key, number, at, reset, *readings in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, kept = [], []
+            for i, (key, number, at, reset, *readings) in enumerate(zip(*(c.to_pylist() for c in batch.columns[: 4 + len(settings.sensors)]))):
                 if key != current or reset:
                     current, state = key, MachineState()
                 features = state.observe(at, dict(zip(settings.sensors, readings)), settings)
                 if features is not None:
                     rows.append((key, number, *[features[n] for n in names]))
+                    kept.append(i)
             columns = list(zip(*rows)) or [()] * (2 + len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[2:]]], names=["machine_key", "seq", *names])
-
-    ordered = _keyed(df, settings, machine, timestamp, seq).repartition("machine_key").sortWithinPartitions("machine_key", "seq")
-    return ordered.mapInArrow(run, _schema(settings))
+            made = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[2:]]]
+            if carried:
+                made.append(batch.column("carry").take(pa.array(kept, pa.int64())))
+            yield pa.RecordBatch.from_arrays(made, names=["machine_key", "seq", *names, *(["carry"] if carried else [])])
+
+    schema = _schema(settings)
+    if carried:
+        schema = StructType([*schema.fields, keyed.schema["carry"]])
+    return _in_order(keyed).mapInArrow(run, schema)
+
+
+def update_rows(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", medians: dict[str, float] | None = None) -> DataFrame:
+    """Whole rows of the online schema, in its order, after ``seq``: id, time, readings, features of the
+    observation, marks of missing readings and features of the history. ``medians`` asks for imputation:
+    missing numbers become the median of their name, 0 where there is none."""
+    single = stateless(df, timestamp)
+    marks = {f"{s}_missing": (finite(F.col(s).cast("double")).isNull() if s in df.columns else F.lit(True)).cast("double") for s in settings.sensors}
+    readings = {s: finite(F.col(s).cast("double")) if s in df.columns else F.lit(None).cast("double") for s in settings.sensors}
+    carry = F.struct(observed_at(df, timestamp).alias("timestamp"), *[c.alias(n) for n, c in (readings | single | marks).items()])
+    rows = replay(df, settings, machine, timestamp, seq, carry).select("machine_key", "seq", "carry.*", *history_features(settings))
+    names = [n for n in expected_features(settings) if n != "machine_id"]
+    rows = rows.select("seq", F.col("machine_key").alias("machine_id"), *[F.col(n) if n in rows.columns else F.lit(None).cast("double").alias(n) for n in names])
+    return rows if medians is None else imputed(rows, [n for n in names if n != "timestamp"], medians)
 
 
 class MachineProcessor(StatefulProcessor):
@@ -169,8 +198,7 @@ def states_after(df: DataFrame, settings: OnlineSettings, machine: str = "machin
         if current is not None:
             yield pa.RecordBatch.from_arrays([pa.array([current]), pa.array([state.to_json()])], names=["machine_key", "payload"])
 
-    ordered = _keyed(df, settings, machine, timestamp, seq).repartition("machine_key").sortWithinPartitions("machine_key", "seq")
-    return ordered.mapInArrow(run, "machine_key string, payload string")
+    return _in_order(_keyed(df, settings, machine, timestamp, seq)).mapInArrow(run, "machine_key string, payload string")
 
 
 def imputed(df: DataFrame, names: Sequence[str], medians: dict[str, float] | None = None) -> DataFrame:

@@ -153,3 +153,44 @@ def test_one_exchange_serves_all_history_features(spark):
     w = Window.partitionBy("machine").orderBy("i")
     plan = fam.add(df, fam.lag("x", w) + fam.rolling("x", w) + fam.anomaly("x", w))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_no_window_over_the_whole_table(spark):
+    from pulsefeat.operators import split
+    from pulsefeat.sources.views import machines
+
+    df = machines(spark, "/root/testdata/sf0.001")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    model = FeatureEngineer(Settings()).fit(df)
+    assert "Window" not in plan(model.transform(df)) and "tool_wear__cumulative_normalized" in model.learned.retained
+    parts = split.stratified(df, "uid").cache()
+    want = {c: [n * s // 100 for s in (70, 85)] for c, n in df.groupBy("machine_failure").count().collect()}
+    got = {(r.machine_failure, r.split): r["count"] for r in parts.groupBy("machine_failure", "split").count().collect()}
+    for c, (first, second) in want.items():
+        assert (got[c, "train"], got[c, "validation"]) == (first, second - first)
+
+
+def test_split_keeps_rows_of_a_key_together(spark):
+    from pulsefeat.operators import split
+
+    df = spark.createDataFrame([(i % 40 if i % 7 else None, None if i % 50 == 0 else i % 2) for i in range(400)], "k long, y int")
+    parts = split.stratified(df, "k", "y")
+    assert parts.columns == ["k", "y", "split"] and parts.count() == 400 and parts.groupBy("k", "y").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    assert split.stratified(df.limit(0), "k", "y").collect() == []
+
+
+@pytest.mark.parametrize("bins", [16, 1024])
+def test_exact_quantiles(spark, bins, monkeypatch):
+    import numpy as np
+
+    from pulsefeat.operators import order
+
+    monkeypatch.setattr(order, "BINS", bins)
+    rng = np.random.default_rng(1)
+    table = {"a": rng.standard_normal(500), "b": rng.integers(0, 4, 500).astype(float), "c": np.full(500, 7.5), "d": np.exp(20 * rng.standard_normal(500))}
+    rows = [(*(float(v[i]) for v in table.values()), None, float(i) if i < 1 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    got = order.exact_quantiles(df, list("abcdef"), [0, 0.1, 0.5, 0.75, 1])
+    for c, v in table.items():
+        assert np.allclose(got[c], np.quantile(v, [0, 0.1, 0.5, 0.75, 1]), rtol=1e-12)
+    assert got["e"] is None and got["f"] == [0.0] * 5 and order.exact_quantiles(df, [], [0.5]) == {}
