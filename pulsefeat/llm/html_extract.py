@@ -65,6 +65,8 @@ PLACE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article entry fb media post reader story thread to user".split())
 
+ALL_COMMENT_WORDS, BESIDE_WORDS = COMMENT_WORDS | TALK_WORDS, PLACE_WORDS | CONTENT_WORDS
+
 
 def _marked(tokens: list[str], marks: frozenset[str], places: frozenset[str]) -> bool:
     """Whether a class or id has one of the words, and besides them only words of place."""
@@ -87,11 +89,14 @@ class Node:
     heading: bool = False
     in_header: bool = False
     in_head: bool = False
+    in_article: bool = False  # it is one or lies in one
+    in_main: bool = False
 
 
 @dataclass
 class Page:
     chunks: list[tuple[Node, str, bool, bool]] = field(default_factory=list)  # node, text, in a link, begins a block
+    live: list[tuple[Node, str, bool, bool]] | None = None  # those that aren't clutter, once known
 
 
 class _Builder(HTMLParser):
@@ -103,6 +108,9 @@ class _Builder(HTMLParser):
         self.links = 0
         self.fresh = True
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers aren't needed
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "a":
             self.links += 1
@@ -121,17 +129,20 @@ class _Builder(HTMLParser):
             return
         parent = self.open[-1]
         values = {n: (v or "") for n, v in attrs}
-        tokens = [*values.get("class", "").split(), values.get("id", "")]
-        classes = sorted({re.sub(r"\d+", "", c.lower()) for c in values.get("class", "").split()})
+        named = values.get("class", "").split()
+        tokens = [*named, values["id"]] if values.get("id") else named
+        classes = sorted({re.sub(r"\d+", "", c.lower()) for c in named}) if named else named
         node = Node(tag, parent, f"{parent.path}{'/' if tag in CONTAINERS else '>'}{tag}" + "".join(f".{c}" for c in classes if c), heading=tag in HEADINGS)
-        in_article = any(n.tag in ("article", "main") for n in self.open)
+        node.in_article, node.in_main = parent.in_article or tag == "article", parent.in_main or tag == "main"
         node.in_head = parent.in_head or tag == "head"
-        node.in_header = parent.in_header or (tag == "header" and in_article)
-        hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-        talk = COMMENT_WORDS if any(n.tag == "article" for n in self.open) else COMMENT_WORDS | TALK_WORDS
-        unmarked = tag not in ROOTS
-        node.skipped = parent.skipped or tag in SKIPPED or (unmarked and (hidden or values.get("role", "") in SKIPPED_ROLES or _marked(tokens, talk, PLACE_WORDS | CONTENT_WORDS))) or (tag == "header" and not node.in_header)
-        node.clutter = tag == "form" or (unmarked and (_marked(tokens, CLUTTER_WORDS, PLACE_WORDS | CONTENT_WORDS) or _marked(tokens, FRAME_WORDS, PLACE_WORDS)))
+        node.in_header = parent.in_header or (tag == "header" and (parent.in_article or parent.in_main))
+        node.skipped = parent.skipped or tag in SKIPPED or (tag == "header" and not node.in_header)
+        node.clutter = tag == "form"
+        if values and tag not in ROOTS:
+            hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+            talk = COMMENT_WORDS if parent.in_article else ALL_COMMENT_WORDS
+            node.skipped = node.skipped or hidden or values.get("role", "") in SKIPPED_ROLES or _marked(tokens, talk, BESIDE_WORDS)
+            node.clutter = node.clutter or _marked(tokens, CLUTTER_WORDS, BESIDE_WORDS) or _marked(tokens, FRAME_WORDS, PLACE_WORDS)
         self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -162,6 +173,12 @@ def parse(html: str) -> Page:
 
 
 def _live(page: Page) -> list[tuple[Node, str, bool, bool]]:
+    if page.live is None:
+        page.live = _without_clutter(page)
+    return page.live
+
+
+def _without_clutter(page: Page) -> list[tuple[Node, str, bool, bool]]:
     """Chunks of text that aren't clutter. A cluttered name on an element with most of the text says
     nothing (a wrapper called "has-sidebar"); elsewhere the element is left out."""
     weight: dict[int, int] = {}
