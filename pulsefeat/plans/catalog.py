@@ -325,14 +325,14 @@ def engineered_test_split(spark, sf_dir):
 
 
 @query(
-    SPLIT + "SELECT uid, " + sql_round("tool_wear_min / greatest((SELECT max(tool_wear_min) FROM p WHERE split = 'test'), 1) AS tool_wear__cumulative_normalized", "200 - tool_wear_min AS tool_wear__distance_to_200_min") + ", CASE WHEN tool_wear_min >= 200 THEN 1 ELSE 0 END AS operating_condition__high_tool_wear_flag FROM p WHERE split = 'test'"
+    SPLIT + "SELECT uid, " + sql_round("tool_wear_min / greatest((SELECT max(tool_wear_min) FROM p WHERE split = 'test'), 1) AS tool_wear__cumulative_normalized", "200 - tool_wear_min AS tool_wear__distance_to_200_min") + " FROM p WHERE split = 'test'"
 )
 def engineered_wear(spark, sf_dir):
     """The default fit and transform, whose normalised wear looks at the batch's maximum."""
     parts = split.stratified(machines(spark, sf_dir), "uid")
     model = FeatureEngineer(Settings(missing_indicators=False)).fit(parts.where("split = 'train'").drop("split"))
     table = model.transform(parts.where("split = 'test'").drop("split"))
-    return r6(table.select("uid", "tool_wear__cumulative_normalized", "tool_wear__distance_to_200_min", "operating_condition__high_tool_wear_flag"))
+    return r6(table.select("uid", "tool_wear__cumulative_normalized", "tool_wear__distance_to_200_min"))
 
 
 @query("SELECT event_id, round(avg(value) OVER w, 6) AS rolling__value__mean_3, round(max(value) OVER w, 6) AS rolling__value__max_3 FROM events WHERE user_id = (SELECT min(user_id) FROM events) WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
