@@ -7,14 +7,18 @@ the type from the content, the digests from block and payload. Of records with e
 least ``SMALLEST`` bytes, the one of smallest page id stays a response and the others become revisits
 that refer to it.
 
-WARC files are written by Spark's text writer: a record ends with two line ends, which is the writer's
-line separator. They are read back as binary files, record by record, by declared lengths.
+A WARC file has a gzip member for each record, so that readers can seek, begins with a ``warcinfo``
+record and holds about ``ARCHIVE_BYTES`` of members. A file is one row to Spark's text writer. It ends
+with an empty member, whose last byte, always zero, is the writer's line separator. Files are read back
+as binary files, record by record, by declared lengths.
 
 Defined edge cases
   * null html counts as empty: a response with an empty payload
   * a null or blank URL is written as ``urn:unknown``; white space in a URL as percent escapes
   * a null page_id is read back as null; such records rank behind others of equal payload
   * repeated rows become records of their own with the same identifier
+  * an ARC file may be gzipped; a block that ends before its declared length is kept as it is and
+    marked ``WARC-Truncated``; a header line cut short is an error
   * an empty table gives no archives and an empty result; extra columns are not read
 """
 
@@ -42,10 +46,9 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SMALLEST = 100
 ARCHIVE_BYTES = 4 << 20
-RECORDS_PER_FILE = 1000
 #: Representatives of repeated payloads are broadcast up to this count (about 150 bytes each).
 MAX_BROADCAST_PAYLOADS = 100_000
-RECORD = "page_id long, record_id string, uri string, date string, ip string, mime string, head binary, payload binary, digest string"
+RECORD = "page_id long, record_id string, uri string, date string, ip string, mime string, head binary, payload binary, digest string, truncated boolean"
 
 
 def http_message(page_id: int | None, payload: bytes) -> bytes:
@@ -90,13 +93,16 @@ def arc_archives(pages: DataFrame) -> DataFrame:
 
 
 def parse_arc(content: bytes) -> Iterator[dict]:
-    """Header fields and ``block`` of each record but the first, which says what the fields are."""
+    """Header fields, ``block`` and ``truncated`` (the block ends before its declared length) of each
+    record but the first, which says what the fields are."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     fields: list[str] | None = None
     at = 0
     while at < len(content):
         end = content.find(b"\n", at)
         if end < 0:
-            return
+            raise ValueError(f"ARC header line cut short: {content[at : at + 80]!r}")
         line = content[at:end].decode("utf-8", "replace").rstrip("\r")
         if not line.strip():
             at = end + 1
@@ -114,7 +120,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
             declared = rest.split("\n")[0].split()
             fields = declared or FIELDS[int(version.split()[0])]
             continue
-        yield record | {"block": block}
+        yield record | {"block": block, "truncated": len(block) < size}
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -144,24 +150,34 @@ def convert(archives: DataFrame) -> DataFrame:
                     d = record["Archive-date"].ljust(14, "0")
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
                     identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{record['URL']} {d} {page}")
-                    rows.append((None if page is None else int(page), f"urn:uuid:{identity}", record["URL"], date, record["IP-address"], record["Content-type"], head, payload, hashlib.sha256(payload).hexdigest()))
-                kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string()]
+                    rows.append((None if page is None else int(page), f"urn:uuid:{identity}", record["URL"], date, record["IP-address"], record["Content-type"], head, payload, hashlib.sha256(payload).hexdigest(), record["truncated"]))
+                kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string(), pa.bool_()]
                 columns = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in RECORD.split(", ")])
 
     return archives.mapInArrow(run, RECORD)
 
 
-def warc_record(kind: str, record_id: str, uri: str, date: str, ip: str, mime: str, head: bytes, payload: bytes, digest: str, refers: str | None) -> bytes:
+def warc_record(kind: str, record_id: str, uri: str, date: str, ip: str, mime: str, head: bytes, payload: bytes, digest: str, refers: str | None, truncated: bool = False) -> bytes:
     """A record without the two line ends that close it."""
     block = head if kind == "revisit" else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
     if refers:
         lines += [f"WARC-Refers-To: <{refers}>", f"WARC-Profile: {PROFILE}"]
+    if truncated:
+        lines.append("WARC-Truncated: unspecified")
     lines += ["Content-Type: " + ("application/http; msgtype=response" if head else mime), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
+def warcinfo(first_id: str, date: str) -> bytes:
+    """The record that begins a file, told apart by the first record behind it; closed like any other."""
+    block = b"software: pulsefeat\r\nformat: WARC File Format 1.1\r\n"
+    identity = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {first_id}")
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{identity}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
+
+
 def write_warc(records: DataFrame, path: str) -> None:
     """Write rows of RECORD as WARC files, with revisits in place of repeated payloads."""
     worth = F.octet_length("payload") >= SMALLEST
@@ -173,14 +189,26 @@ def write_warc(records: DataFrame, path: str) -> None:
     is_first = (F.col("record_id") == F.col("first_id")) & F.col("page_id").eqNullSafe(F.col("first_page"))
     marked = marked.withColumn("refers", F.when(F.col("same").isNotNull() & ~is_first, F.col("first_id")))
 
+    names = ["record_id", "uri", "date", "ip", "mime", "head", "payload", "digest", "refers", "truncated"]
+
     def run(batches):
+        member = lambda record: gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+        last = gzip.compress(b"", mtime=0)[:-1]
+        file = lambda out: pa.RecordBatch.from_arrays([pa.array([out.getvalue() + last], pa.binary())], names=["value"])
+        out = io.BytesIO()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("record_id", "uri", "date", "ip", "mime", "head", "payload", "digest", "refers")]
-            made = [warc_record("revisit" if row[-1] else "response" if row[5] else "resource", *row) for row in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if not out.tell():
+                    out.write(member(warcinfo(row[0], row[2])))
+                out.write(member(warc_record("revisit" if row[8] else "response" if row[5] else "resource", *row)))
+                if out.tell() >= ARCHIVE_BYTES:
+                    yield file(out)
+                    out = io.BytesIO()
+        if out.tell():
+            yield file(out)
 
-    rows = marked.select("record_id", "uri", "date", "ip", "mime", "head", "payload", "digest", "refers").mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    files = marked.select(*names).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -197,31 +225,48 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         yield headers, stream.read(int(headers["content-length"]))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """``page_id, uri, record_id, record_type, payload_bytes, payload_digest, refers_id, payload`` of the
-    records in the files; digests of payloads that are there are made anew and must agree."""
+    records in the files; digests of payloads that are there are made anew and must agree. Of a revisit,
+    ``payload_bytes`` is what its HTTP headers declare, null where they don't. Without ``payloads`` that
+    column is left out."""
+    schema = "page_id long, uri string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_id string" + ", payload binary" * payloads
 
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for headers, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
+                for headers, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))):
+                    if headers["warc-type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
                     page = header_value(head, b"X-Page-Id")
                     digest = headers["warc-payload-digest"].removeprefix("sha256:")
                     refers = headers.get("warc-refers-to", "").strip("<>") or None
                     size = len(payload)
                     if refers:
-                        size = int(header_value(head, b"Content-Length") or 0)
+                        declared = header_value(head, b"Content-Length") or ""
+                        size = int(declared) if declared.isdecimal() else None
                     elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload digest of {headers['warc-record-id']} disagrees")
-                    rows.append((None if page is None else int(page), headers["warc-target-uri"], headers["warc-record-id"].strip("<>"), headers["warc-type"], size, digest, refers, None if refers else payload))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+                    rows.append((None if page is None else int(page), headers["warc-target-uri"], headers["warc-record-id"].strip("<>"), headers["warc-type"], size, digest, refers, *([None if refers else payload] if payloads else [])))
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if payloads else [])]
                 columns = list(zip(*rows)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "uri", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_id", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "page_id long, uri string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_id string, payload binary")
+    return files.select("content").mapInArrow(run, schema)
+
+
+def verdicts(found: DataFrame) -> DataFrame:
+    """Rows of ``read_warc`` as ``page_id, payload_bytes, payload_digest, record_type, refers_to``: what a
+    revisit refers to is looked up, and gives its size."""
+    found = cut(found.select("page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_id"), "records")
+    wanted = found.select(F.col("refers_id").alias("wanted")).where("wanted IS NOT NULL").distinct()
+    targets = found.where("refers_id IS NULL").join(wanted, F.col("record_id") == F.col("wanted"), "left_semi")
+    targets = targets.groupBy(F.col("record_id").alias("target_id")).agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("target_bytes"))
+    size = F.coalesce("target_bytes", "payload_bytes").alias("payload_bytes")
+    return found.join(targets, F.col("refers_id") == F.col("target_id"), "left").select("page_id", size, "payload_digest", "record_type", "refers_to")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -231,10 +276,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     small_batches(spark)
     path = new_path(spark, "warc")
     write_warc(convert(arc_archives(pages)), path)
-    found = read_warc(spark, path).drop("payload", "uri")
-    targets = found.where("refers_id IS NULL").join(found.select(F.col("refers_id").alias("wanted")).where("wanted IS NOT NULL").distinct(), F.col("record_id") == F.col("wanted"), "left_semi")
-    targets = targets.groupBy(F.col("record_id").alias("target_id")).agg(F.min("page_id").alias("refers_to"))
-    return found.join(targets, F.col("refers_id") == F.col("target_id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return verdicts(read_warc(spark, path, payloads=False))
 
 
 ORACLE_SQL = """

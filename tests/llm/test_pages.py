@@ -1,12 +1,15 @@
 """HTML extraction, ARC to WARC and URL filters."""
 
 import datetime
+import gzip
 import hashlib
 import io
 import random
 import re
+import zlib
 
 import duckdb
+import pytest
 
 from pulsefeat.llm import html_extract, url_filter, warc
 
@@ -150,6 +153,58 @@ def test_both_arc_versions_and_payloads_with_line_ends():
     assert warc.split_http(blocks[2]) == (b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n", b"body\n")
 
 
+def test_damaged_and_gzipped_arc():
+    body = f"1 0 org\n{' '.join(warc.FIELDS[1])}\n".encode()
+    content = warc.arc_header(1, "filedesc://x", "20240101000000", "text/plain", "x", 0, body) + body + b"\n"
+    content += warc.arc_header(1, "http://a/", "20240102030405", "text/html", "x", 7, b"whole") + b"whole\n"
+    cut_block = content + warc.arc_header(1, "http://b/", "20240102030405", "text/html", "x", 7, b"not whole") + b"not"
+    for data in (cut_block, gzip.compress(content) + gzip.compress(cut_block[len(content) :])):
+        assert [(r["block"], r["truncated"]) for r in warc.parse_arc(data)] == [(b"whole", False), (b"not", True)]
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse_arc(content + b"http://b/ 0.0.0.0 2024"))
+    assert b"WARC-Truncated: unspecified\r\n" in warc.warc_record("response", "urn:uuid:1", "http://a/", "d", "i", "m", b"HTTP/1.1 200 OK\r\n\r\n", b"x", "d", None, True)
+
+
+def test_warc_files_are_bounded_and_have_a_member_for_each_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rng = random.Random(5)
+    html = ["<p>" + "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([5, 900, 60_000]))) for _ in range(40)]
+    df = spark.createDataFrame([(i, f"http://h/{i}", h, "", 7) for i, h in enumerate(html)], PAGES + ", digest int").repartition(2)
+    path = str(tmp_path / "warc")
+    warc.write_warc(warc.convert(warc.arc_archives(df)), path)
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part-*")]
+    assert len(files) > 8
+    seen = []
+    for data in filter(None, files):
+        members = []
+        while data:
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(data))
+            assert d.eof
+            data = d.unused_data
+        assert members[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and members[-1] == b""
+        for m in members[1:-1]:
+            ((headers, block),) = warc.parse_warc(io.BytesIO(m))
+            seen.append(block.partition(b"\r\n\r\n")[2].decode())
+    assert sorted(seen) == sorted(html)
+    got = {r.page_id: r.payload.decode() for r in warc.read_warc(spark, path).collect()}
+    assert got == dict(enumerate(html))
+
+
+def test_revisits_of_heads_without_a_length(spark):
+    """Real ARC records may lack a content length: a revisit's size is then its target's."""
+    body = f"1 0 org\n{' '.join(warc.FIELDS[1])}\n".encode()
+    content = warc.arc_header(1, "filedesc://x", "20240101000000", "text/plain", "x", 0, body) + body + b"\n"
+    for i in (4, 2):
+        block = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" % i + b"x" * 300
+        content += warc.arc_header(1, "http://a/", "20240102030405", "text/html", "x", 7, block) + block + b"\n"
+    path = warc.new_path(spark, "warc")
+    warc.write_warc(warc.convert(spark.createDataFrame([("x", bytearray(content))], "name string, content binary")), path)
+    found = warc.read_warc(spark, path)
+    assert {r.page_id: r.payload_bytes for r in found.collect()} == {2: 300, 4: None}
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.verdicts(found).collect()) == [(2, 300, "response", None), (4, 300, "revisit", 2)]
+
+
 def test_warc_records_parse_by_length():
     one = warc.warc_record("response", "urn:uuid:1", "http://a/", "2024-01-01T00:00:00Z", "0.0.0.0", "text/html", b"HTTP/1.1 200 OK\r\n\r\n", b"x\r\n\r\nWARC/1.1\r\n", "d", None)
     two = warc.warc_record("revisit", "urn:uuid:2", "http://a/", "2024-01-01T00:00:00Z", "0.0.0.0", "text/html", b"HTTP/1.1 200 OK\r\n\r\n", b"gone", "d", "urn:uuid:1")
