@@ -3,6 +3,9 @@
 Alternating large and small stars: every node hands its larger (then its smaller) neighbours to the
 smallest node it knows, until nothing changes. Minima are pre-aggregated before the shuffle, a round
 is written to the shared folder, and neither nodes nor edges come to the driver.
+
+Hubs. Of n edges, fewer than MAX_HUBS nodes have more than 2 n / MAX_HUBS, whatever the graph: the minima
+of these are broadcast, and their edges stay where they are. The others' edges are dealt by node.
 """
 
 from __future__ import annotations
@@ -10,20 +13,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefeat.llm.storage import cut, drop_table
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges``: u > v. Links (node, smallest known) in the same form."""
+MAX_HUBS = 100_000
+LEAST_HUB = 1000  # edges of a node that are never worth a broadcast
+
+
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """``edges``: ``count`` rows at most, u > v. Links (node, smallest known) in the same form."""
     if large:
         sides = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-    joined = sides.join(least, F.col("u") == F.col("at"))
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"), "n")
+    is_hub, own = F.col("n") > max(LEAST_HUB, 2 * count // MAX_HUBS), F.col("u") == F.col("at")
+    hubs = F.broadcast(least.where(is_hub))
+    joined = sides.join(hubs, own, "left_anti").join(least.where(~is_hub), own).union(sides.join(hubs, own))
     if large:
         links = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,12 +46,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     ordered = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     current = cut(ordered.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
-    seen = None
+    seen, count = None, current.count()
     while True:
-        following = cut(_star(_star(current, large=True), large=False), "edges")
+        # The large star has no more links than edges, so that the count bounds the small one too.
+        following = cut(_star(_star(current, True, count), False, count), "edges")
         state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(current)
-        current = following
+        current, count = following, state[0]
         if state == seen or not state[0]:
             break
         seen = state
@@ -51,11 +61,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-def dealt_blocks(rows: DataFrame, group: str, size: str, item: str, block: int) -> DataFrame:
-    """``rows`` with ``task``, ``own`` and ``cross``. A group of up to ``block`` rows is one task; a
-    larger one is dealt over blocks by a hash of ``item``, and each pair of blocks (and each block by
-    itself) is a task. ``own`` is the row's block; ``cross`` marks tasks of two different blocks."""
-    parts = F.ceil(F.col(size) / block).cast("int")
+def dealt_blocks(rows: DataFrame, group: str, item: str, shares: Column) -> DataFrame:
+    """``rows`` with ``task``, ``own`` and ``cross``. ``shares``: a group's size over that of a block. A
+    group of up to one block is one task; a larger one is dealt over blocks by a hash of ``item``, and
+    each pair of blocks (and each block by itself) is a task. ``own`` is the row's block; ``cross`` marks
+    tasks of two different blocks."""
+    parts = F.ceil(shares).cast("int")
     own = F.pmod(F.xxhash64(F.lit(3), F.col(item)), parts).cast("int")
     with_own = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     pair = F.struct(F.least("own", "other"), F.greatest("own", "other"))

@@ -185,12 +185,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     codes = cut(coded(classes, kind, bits, bands), "codes")
     entries = codes.select("rep", F.explode("buckets").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    tasks = dealt_blocks(entries.join(sizes, "bucket"), "bucket", "members", "rep", BUCKET_BLOCK).select("task", "rep")
+    tasks = dealt_blocks(entries.join(sizes, "bucket"), "bucket", "rep", F.col("members") / BUCKET_BLOCK).select("task", "rep")
     near = tasks.join(codes.select("rep", "code", "factors"), "rep").join(classes.select("rep", "vec"), "rep")
     loose = near.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _families(it, kind, cosine), "a long, b long")
     families = cut(connected_components(loose), "families")
     members = families.join(families.groupBy("component").agg(F.count("*").alias("members")), "component")
-    tasks = dealt_blocks(members, "component", "members", "node", FAMILY_BLOCK)
+    tasks = dealt_blocks(members, "component", "node", F.col("members") / FAMILY_BLOCK)
     rows = tasks.join(classes, F.col("node") == F.col("rep")).select("task", "own", "cross", "rep", "copies", "vec")
     found = cut(rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _exact(it, kind, cosine), "a long, b long, n long"), "links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("n"))

@@ -12,8 +12,9 @@ least ``threshold - SLACK`` of all coordinates (SLACK is over four standard devi
 one loose family; all links lie within families.
 
 Verification. Within a family, full shingle sets are made again from the whole texts and compared, in
-a breadth-first search that compares each document reached with those not yet reached. Families and
-buckets over a fixed size are dealt as pairs of blocks, each pair to a task, so no group is capped.
+a breadth-first search that compares each document reached with those not yet reached. Families over
+a number of documents or of shingles, and buckets over a number of sketches, are dealt as pairs of
+blocks, each pair to a task, so no group is capped.
 Documents of equal sets are one node throughout, so copies cost nothing.
 
 Defined edge cases
@@ -43,6 +44,7 @@ COORDINATES = ROWS * BANDS
 SLACK = 0.10
 BUCKET_BLOCK = 4096  # sketches of a bucket in one block
 FAMILY_BLOCK = 1024  # documents of a family in one block
+FAMILY_ELEMENTS = 1 << 20  # shingles of a family in one block, but for a longer document alone
 #: Members of families are broadcast to the scan of the texts up to this count (16 bytes each).
 MAX_BROADCAST_MEMBERS = 500_000
 
@@ -169,12 +171,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = classes.select("rep", F.explode(band).alias("bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     shared = bands.join(sizes, "bucket")
-    tasks = dealt_blocks(shared, "bucket", "members", "rep", BUCKET_BLOCK).select("task", "rep")
+    tasks = dealt_blocks(shared, "bucket", "rep", F.col("members") / BUCKET_BLOCK).select("task", "rep")
     near = tasks.join(classes.select("rep", "n_shingles", "sketch"), "rep")
     loose = near.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _loose(it, least), "a long, b long")
     families = cut(connected_components(loose), "families")
-    members = families.join(families.groupBy("component").agg(F.count("*").alias("members")), "component")
-    tasks = dealt_blocks(members, "component", "members", "node", FAMILY_BLOCK).select("task", "node")
+    sized = families.join(classes.select("rep", "n_shingles"), F.col("node") == F.col("rep"))
+    totals = sized.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("elements"))
+    shares = F.greatest(F.col("members") / FAMILY_BLOCK, F.col("elements") / FAMILY_ELEMENTS)
+    tasks = dealt_blocks(families.join(totals, "component"), "component", "node", shares).select("task", "node")
     few = bounded_broadcast(tasks, MAX_BROADCAST_MEMBERS)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(few, F.col("doc_id") == F.col("node")).select("task", "doc_id", "text")
     links = texts.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _verified(it, k, percent), "a long, b long")

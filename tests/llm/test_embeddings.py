@@ -39,6 +39,22 @@ def test_equals_brute_force(spark, block, monkeypatch):
     assert got == brute_force(rows, 0.95)
 
 
+def test_planted_pairs_just_over_the_threshold_are_found(spark):
+    """1,000 pairs at cosine 0.9505 among random vectors: all links and components of brute force."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((1000, 64))
+    y -= (x[:1000] * y).sum(axis=1, keepdims=True) * x[:1000]
+    y = 0.9505 * x[:1000] + np.sqrt(1 - 0.9505**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    all_ = np.concatenate([x, y])
+    cosines = all_ @ all_.T >= 0.95
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(all_)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, 0.95).collect()}
+    found = sum(got.values()) / (cosines.sum() - len(all_))
+    assert 0.995 <= found <= 1 and all(got[i] <= cosines[i].sum() - 1 for i in got)
+
+
 def test_empty_table_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).collect() == []

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from pulsefeat.llm import minhash
+from pulsefeat.llm import components, minhash
 from pulsefeat.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,6 +89,48 @@ def test_sketch_estimates_similarity_and_fills_every_coordinate():
         assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < 0.15
 
 
+def test_long_texts_are_dealt_by_their_length(spark, monkeypatch):
+    """Blocks of one document or two, though the family has few: results stay those of brute force."""
+    monkeypatch.setattr(minhash, "FAMILY_ELEMENTS", 9000)
+    rng = random.Random(8)
+    text = [str(rng.randrange(50_000)) for _ in range(6000)]
+    rows = []
+    for i in range(8):
+        rows.append((i, " ".join(text)))
+        for _ in range(60):
+            text[rng.randrange(len(text))] = "new"
+    verified = minhash._verified
+
+    def watched(batches, k, percent):
+        for group in minhash.sorted_groups(batches, "task"):
+            if sum(len((t or "").split()) for t in group.column("text").to_pylist()) >= 8 * 6000:
+                raise AssertionError("a task holds the whole family")
+            yield from verified(iter(group.to_batches()), k, percent)
+
+    monkeypatch.setattr(minhash, "_verified", watched)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 5, 80).collect()}
+    assert got == brute_force(rows, 5, 80) and {c for _, _, c in got} == {0}
+
+
+@pytest.mark.parametrize("least_hub", [1, 1000])
+def test_components_with_hubs(spark, monkeypatch, least_hub):
+    monkeypatch.setattr(components, "LEAST_HUB", least_hub)
+    rng = random.Random(9)
+    edges = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(500, 560)] + [(rng.randrange(100, 160), rng.randrange(100, 400)) for _ in range(200)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {(r.node, r.component) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(x, root(x)) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (None, 3)]
     got = {(r.node, r.component) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
