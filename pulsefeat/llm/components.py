@@ -5,7 +5,8 @@ smallest node it knows, until nothing changes. Minima are pre-aggregated before
 is written to the shared folder, and neither nodes nor edges come to the driver.
 
 Hubs. Of n edges, fewer than MAX_HUBS nodes have more than 2 n / MAX_HUBS, whatever the graph: the minima
-of these are broadcast, and their edges stay where they are. The others' edges are dealt by node.
+of these are broadcast to the large star, and their edges stay where they are. The others' edges are
+dealt by node, as are those of the small star, whose larger nodes have few smaller ones after a round.
 """
 
 from __future__ import annotations
@@ -23,16 +24,20 @@ MAX_HUBS = 100_000
 LEAST_HUB = 1000  # edges of a node that are never worth a broadcast
 
 
-def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
-    """``edges``: ``count`` rows at most, u > v. Links (node, smallest known) in the same form."""
+def _star(edges: DataFrame, large: bool, count: int = 0) -> DataFrame:
+    """``edges``: u > v, ``count`` rows. Links (node, smallest known) in the same form."""
     if large:
         sides = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges
     least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"), "n")
-    is_hub, own = F.col("n") > max(LEAST_HUB, 2 * count // MAX_HUBS), F.col("u") == F.col("at")
-    hubs = F.broadcast(least.where(is_hub))
-    joined = sides.join(hubs, own, "left_anti").join(least.where(~is_hub), own).union(sides.join(hubs, own))
+    own = F.col("u") == F.col("at")
+    if large:
+        is_hub = F.col("n") > max(LEAST_HUB, 2 * count // MAX_HUBS)
+        hubs = F.broadcast(least.where(is_hub))
+        joined = sides.join(hubs, own, "left_anti").join(least.where(~is_hub), own).union(sides.join(hubs, own))
+    else:
+        joined = sides.join(least, own)
     if large:
         links = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -48,8 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = cut(ordered.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
     seen, count = None, current.count()
     while True:
-        # The large star has no more links than edges, so that the count bounds the small one too.
-        following = cut(_star(_star(current, True, count), False, count), "edges")
+        following = cut(_star(_star(current, large=True, count=count), large=False), "edges")
         state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(current)
         current, count = following, state[0]
