@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm import bpe_codec, embeddings, html_extract, minhash, mixing, quality, substring, token_count, url_filter, warc
+from pulsefeat.llm import bpe_codec, centroids, embeddings, html_extract, minhash, mixing, quality, substring, token_count, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op8_html_extract, op9_minhash_near_dedup, op10_arc_to_warc)}
+def op13_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dimension=64)
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op8_html_extract, op9_minhash_near_dedup, op10_arc_to_warc, op13_exponion_clusters)}
+
+ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL, "op13_exponion_clusters": centroids.oracle_sql()}
