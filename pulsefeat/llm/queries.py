@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefeat.llm import bpe_codec, centroids, embeddings, html_extract, lexical_search, minhash, mixing, quality, substring, token_count, url_filter, warc
+from pulsefeat.llm import bpe_codec, centroids, embeddings, html_extract, language_id, lexical_search, minhash, mixing, quality, substring, token_count, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,10 +61,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(read(spark, sf_dir, "documents"))
+
+
 def op13_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dimension=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op8_html_extract, op9_minhash_near_dedup, op10_arc_to_warc, op11_lexical_search, op13_exponion_clusters)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_bpe_round_trip, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_url_filter, op7_embedding_near_dedup, op8_html_extract, op9_minhash_near_dedup, op10_arc_to_warc, op11_lexical_search, op12_language_mixture, op13_exponion_clusters)}
 
 ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op10_arc_to_warc": warc.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL, "op13_exponion_clusters": centroids.oracle_sql()}
