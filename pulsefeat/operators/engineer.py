@@ -2,7 +2,8 @@
 
 ``fit`` learns medians, means and deviations of numeric inputs, the maximal wear, whether time is real,
 and which derived columns are constant or duplicates; all in aggregates over the training rows.
-``transform`` is lazy and applies the same plan to any split.
+``transform`` applies the same plan to any split; it is lazy, but that it counts the rows of the longest
+sequence, and writes a table whose sequences are cut.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ class Settings:
     missing_indicators: bool = True
     keep_identifiers: bool = True
     parity_wear: bool = True
+    chunk_rows: int | None = None  # rows of a chunk of a long sequence; None: by its length, 0: never cut
 
     def __post_init__(self) -> None:
         for name in ("lags", "windows", "spans", "periods", "z_windows"):
@@ -148,12 +150,10 @@ class FeatureEngineer:
         if has_time:
             out = fam.elapsed(out, s.timestamp, s.machine, s.tiebreak)
             features.append(fam.Feature("time__elapsed_seconds", "time", (s.timestamp,), "elapsed", F.col("time__elapsed_seconds")))
-            w = fam.history(s.machine, s.timestamp, s.tiebreak)
-            out, means = fam.ewm(out, inputs, w, s.spans)
-            past = [f for c in inputs for f in fam.lag(c, w, s.lags) + fam.rolling(c, w, s.windows, s.statistics) + fam.rate_of_change(c, w, s.periods) + fam.anomaly(c, w, s.z_windows, s.z_limit)]
-            out = fam.add(out, past + means)
-            out = out.drop(*[c for c in out.columns if c.startswith("__ewm_")])
-            features += past + means
+            past = lambda w: [f for c in inputs for f in fam.lag(c, w, s.lags) + fam.rolling(c, w, s.windows, s.statistics) + fam.rate_of_change(c, w, s.periods) + fam.anomaly(c, w, s.z_windows, s.z_limit)]
+            reach = max(*s.lags, *s.windows, *s.periods, *s.z_windows)
+            out, made = fam.with_history(out, s.machine, s.timestamp, s.tiebreak, past, reach, inputs, s.spans, s.chunk_rows)
+            features += made
         self.features = features
         return fam.cleaned(out, features)
 

@@ -1,13 +1,13 @@
 """Feature families as lists of ``Feature``: a name, its lineage and a Spark column.
 
-Everything is a column, so a stage of any number of families is one ``select``; all history features
-share one window specification and thus one exchange and one sort per machine.
+Everything but exponential means is a column, so a stage of any number of families is one ``select``; all
+history features share one window specification and thus one exchange and one sort per machine.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsefeat.functions.names import FAILURE_MODES, SENSORS, TARGET, feature_name
 from pulsefeat.functions.safe import finite, flag, null_count, safe_divide, safe_log1p, safe_sqrt, seconds_between
+from pulsefeat.operators import sequence
 
 LAGS = (1, 2, 3, 5, 10)
 WINDOWS = (3, 5, 10, 20)
@@ -193,11 +194,39 @@ def global_zscores(means: dict[str, float], deviations: dict[str, float]) -> lis
 # --- families of a machine's history -----------------------------------------------------------
 
 
+def sequence_order(ts: str, tiebreak: Sequence[str] = ()) -> list[Column]:
+    return [F.col(ts).asc_nulls_last(), *[F.col(c).asc_nulls_first() for c in tiebreak]]
+
+
 def history(machine: str | None, ts: str, tiebreak: Sequence[str] = ()) -> WindowSpec:
-    """A machine's rows in time order; null machine ids form one machine. Without a machine column the
-    whole table is one sequence, in one task."""
-    spec = Window.partitionBy(machine) if machine else Window.partitionBy(F.lit(0))
-    return spec.orderBy(F.col(ts).asc_nulls_last(), *[F.col(c) for c in tiebreak])
+    """A machine's rows in time order; null machine ids form one machine. The columns stay with the
+    specification as ``sequence``. ``with_history`` cuts sequences that are too long for one task."""
+    order = sequence_order(ts, tiebreak)
+    spec = (Window.partitionBy(machine) if machine else Window.partitionBy(F.lit(0))).orderBy(*order)
+    spec.sequence = (machine, order)
+    return spec
+
+
+def with_history(
+    df: DataFrame, machine: str | None, ts: str, tiebreak: Sequence[str], make: Callable[[WindowSpec], list[Feature]], reach: int,
+    sensors: Sequence[str] = (), spans: Sequence[int] = (), chunk_rows: int | None = None,
+) -> tuple[DataFrame, list[Feature]]:
+    """``df`` with the features that ``make`` builds over a window, whose frames reach back ``reach`` rows
+    at most, and exponential means of ``sensors``. Sequences of more than ``sequence.LONGEST`` rows, and
+    tables without a machine, are evaluated in chunks of ``sequence.CHUNK`` rows; ``chunk_rows`` asks for
+    chunks of so many rows, 0 for none. Only what is cut is written to the shared folder first."""
+    order = sequence_order(ts, tiebreak)
+    made: list[Feature] = make(history(machine, ts, tiebreak))
+    if chunk_rows is None:
+        chunk_rows = sequence.CHUNK if not machine or sequence.longest_sequence(df, machine) > sequence.LONGEST else 0
+    means = [_feature("ewm", s, f"span_{n}", F.col(f"__ewm_{s}_{n}"), [s]) for s in sensors for n in spans]
+    if chunk_rows:
+        out = sequence.evaluated(df, machine, order, reach, lambda w: [f.column.alias(f.name) for f in make(w)], sensors, spans, chunk_rows)
+    else:
+        out = add(df, made)
+        if means:
+            out, _ = ewm(out, sensors, history(machine, ts, tiebreak), spans)
+    return add(out, means).drop(*sequence.ewm_names(sensors, spans)), made + means
 
 
 def lag(s: str, w: WindowSpec, lags: Sequence[int] = LAGS) -> list[Feature]:
@@ -223,37 +252,14 @@ def rolling(s: str, w: WindowSpec, windows: Sequence[int] = WINDOWS, statistics:
     return [_feature("rolling", s, f"{k}_{n}", window_statistic(s, w, n, k), [s]) for n in windows for k in statistics]
 
 
-def ewm_reach(span: int) -> int:
-    """Rows after which a value's weight is below a double's resolution."""
-    return math.ceil(37.5 / -math.log(1 - 2 / (span + 1)))
-
-
-def ewm_fold(values: Column, alpha: float) -> Column:
-    """Recursive mean over an array of structs ``x``: weights decay at nulls too, the mean stays."""
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
-
-    def step(state: Column, item: Column) -> Column:
-        x, y, w = item["x"].cast("double"), state["y"], state["w"]
-        old = w * (1 - alpha)
-        mean = F.when(y.isNull(), x).otherwise((old * y + alpha * x) / (old + alpha))
-        return F.when(x.isNull(), F.struct(y.alias("y"), F.when(y.isNull(), w).otherwise(old).alias("w"))).otherwise(F.struct(mean.alias("y"), F.lit(1.0).alias("w")))
-
-    return F.aggregate(values, start, step, lambda state: state["y"])
-
-
 def ewm(df: DataFrame, sensors: Sequence[str], w: WindowSpec, spans: Sequence[int] = SPANS) -> tuple[DataFrame, list[Feature]]:
-    """Exponentially weighted means of earlier rows. The fold looks back only as far as weights count,
-    so a long history costs a constant per row. It is made after rows with a value; after others the
-    last mean is carried on."""
-    helpers, out = [], []
-    for s in sensors:
-        for n in spans:
-            name = f"__ewm_{s}_{n}"
-            items = F.collect_list(F.struct(F.col(s).alias("x"))).over(w.rowsBetween(-ewm_reach(n), -1))
-            helpers.append(F.when(F.lag(s, 1).over(w).isNotNull(), ewm_fold(items, 2 / (n + 1))).alias(name))
-            carried = F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            out.append(_feature("ewm", s, f"span_{n}", F.coalesce(F.col(name), carried), [s]))
-    return df.select("*", *helpers), out
+    """Exponentially weighted means of earlier rows: weights decay at nulls too, the mean stays. ``w`` is a
+    specification of ``history``; windows over it that are already in ``df`` share its exchange."""
+    machine, order = w.sequence
+    rows = df.repartition(machine) if machine else df.repartition(1)
+    rows = rows.sortWithinPartitions(*([machine] if machine else []), *order)
+    out = sequence.scanned_means(rows, [machine] if machine else [], sensors, spans)
+    return out, [_feature("ewm", s, f"span_{n}", F.col(f"__ewm_{s}_{n}"), [s]) for s in sensors for n in spans]
 
 
 def rate_of_change(s: str, w: WindowSpec, periods: Sequence[int] = PERIODS) -> list[Feature]:

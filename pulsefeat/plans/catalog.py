@@ -152,8 +152,9 @@ def anomaly_family(spark, sf_dir):
 def all_window_families(spark, sf_dir):
     """Every history feature of one sensor: 46 columns, one exchange."""
     w = events_window()
-    df, means = fam.ewm(telemetry(spark, sf_dir), ["value"], w)
-    return r6(df.select(*of(fam.lag("value", w) + fam.rolling("value", w) + means + fam.rate_of_change("value", w) + fam.anomaly("value", w), ["seq"])))
+    past = fam.lag("value", w) + fam.rolling("value", w) + fam.rate_of_change("value", w) + fam.anomaly("value", w)
+    df, means = fam.ewm(fam.add(telemetry(spark, sf_dir), past), ["value"], w)
+    return r6(df.select("seq", *[f.name for f in past], *[f.column.alias(f.name) for f in means]))
 
 
 ORACLES["all_window_families"] = "SELECT * FROM " + " JOIN ".join(f"({ORACLES[q]}) AS {q}" + (" USING (seq)" if i else "") for i, q in enumerate(("lag_family", "rolling_mean_std", "rolling_min_max", "rolling_median", "ewm_history", "roc_family", "anomaly_family")))
@@ -335,13 +336,19 @@ def engineered_wear(spark, sf_dir):
     return r6(table.select("uid", "tool_wear__cumulative_normalized", "tool_wear__distance_to_200_min"))
 
 
-@query("SELECT event_id, round(avg(value) OVER w, 6) AS rolling__value__mean_3, round(max(value) OVER w, 6) AS rolling__value__max_3 FROM events WHERE user_id = (SELECT min(user_id) FROM events) WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS rolling__value__mean_3, round(max(value) OVER w, 6) AS rolling__value__max_3 FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
 def rolling_ungrouped(spark, sf_dir):
-    """Windows of a table without a machine column: one machine's rows, one sequence."""
-    df = telemetry(spark, sf_dir).join(F.broadcast(spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("user_id").alias("machine_id"))), "machine_id", "left_semi")
-    w = fam.history(None, "timestamp", ["seq"])
-    wanted = {f.name: f.column for f in fam.rolling("value", w, (3,), ("mean", "max"))}
-    return r6(df.select(F.col("seq").alias("event_id"), *[column.alias(name) for name, column in wanted.items()]))
+    """Windows of a table without a machine column: all rows are one sequence, evaluated in chunks."""
+    df, features = fam.with_history(telemetry(spark, sf_dir), None, "timestamp", ["seq"], lambda w: fam.rolling("value", w, (3,), ("mean", "max")), 3)
+    return r6(df.select(F.col("seq").alias("event_id"), *[f.name for f in features]))
+
+
+@query(ORACLES["all_window_families"])
+def chunked_window_families(spark, sf_dir):
+    """Every history feature of one sensor, each machine's sequence cut in chunks of 32 rows."""
+    past = lambda w: fam.lag("value", w) + fam.rolling("value", w) + fam.rate_of_change("value", w) + fam.anomaly("value", w)
+    df, features = fam.with_history(telemetry(spark, sf_dir), "machine_id", "timestamp", ["seq"], past, 20, ["value"], fam.SPANS, chunk_rows=32)
+    return r6(df.select("seq", *[f.name for f in features]))
 
 
 @query(M + "SELECT uid, type, machine_failure, " + sql_round(*[f"{c} AS {c}" for c in SENSORS]) + " FROM m")
