@@ -1,73 +1,119 @@
-"""Exact order statistics of columns of any length, without a sort and without a column's values in one task.
+"""Exact order statistics of columns of any length in three scans, as one lazy plan.
 
-Each round splits a column's open interval into ``BINS`` bins and counts values per bin, pre-aggregated;
-only counts reach the driver. The bins that hold a wanted rank become the next intervals, until they hold
-one value.
+The first scan keeps a mergeable quantile sketch per column, whose error bound gives a bracket that holds
+the wanted rank. The second counts what lies below each bracket and sketches what lies inside, which gives
+a bracket some hundred times narrower. The third counts, among the rows of the first bracket, those beside
+the second one and each value within it; the running sum over these is the rank. No column is sorted and
+no values come to the driver. One-row results of a scan are broadcast to the next.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefeat.functions.safe import finite
 
+#: Accuracy of the sketches: ranks are known to one part in BINS of the values.
 BINS = 1024
+#: Columns of one plan; a sketch of each is in a task's memory.
+GROUP = 16
 
 
-def _between(table: DataFrame, spans: dict[tuple[int, float, float], int]) -> DataFrame:
-    """Rows (c, x) of ``table`` in the intervals, with ``lo`` and ``hi``: one broadcast row per interval, of
-    which there are no more than wanted ranks."""
-    rows = table.sparkSession.createDataFrame(list(spans), "c int, lo double, hi double")
-    return table.join(F.broadcast(rows), "c").where(F.col("x").between(F.col("lo"), F.col("hi")))
-
-
-def values_at(df: DataFrame, columns: Sequence[str], ranks: dict[str, Sequence[int]], least: dict[str, float], most: dict[str, float]) -> dict[tuple[str, int], float]:
-    """The value at each wanted rank (from 0) among a column's finite values; ``least`` and ``most`` bound them."""
-    table = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(str(i)) for i, c in enumerate(columns)])
-    table = table.unpivot([], [str(i) for i in range(len(columns))], "c", "x").where("x IS NOT NULL").select(F.col("c").cast("int").alias("c"), "x")
-    found: dict[tuple[str, int], float] = {}
-    open_ = {(i, r): (float(least[c]), float(most[c]), r) for i, c in enumerate(columns) for r in ranks.get(c, ())}
-    while open_:
-        for (i, r), (lo, hi, _) in [(k, v) for k, v in open_.items() if v[0] >= v[1]]:
-            found[columns[i], r] = lo
-            del open_[i, r]
-        if not open_:
-            break
-        spans = {(i, lo, hi): 0 for (i, _), (lo, hi, _) in open_.items()}
-        width = F.col("hi") / BINS - F.col("lo") / BINS
-        bin_ = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(BINS - 1))).otherwise(0)
-        counted = _between(table, spans).groupBy("c", "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("first"), F.max("x").alias("last"))
-        of: dict[tuple[int, float, float], list] = {}
-        for row in counted.collect():  # BINS rows at most for each wanted rank
-            of.setdefault((row.c, row.lo, row.hi), []).append((row["first"], row["last"], row.n))
-        following = {}
-        for (i, r), (lo, hi, rank) in open_.items():
-            for first, last, n in sorted(of[i, lo, hi]):
-                if rank < n:
-                    following[i, r] = (first, last, rank)
-                    break
-                rank -= n
-        open_ = following
-    return found
+def _brackets(clean: DataFrame, n_columns: int, shares: Sequence[float]) -> DataFrame:
+    """One row: per column and share the ends of a bracket around its rank, and per column the count."""
+    reach = 3 / BINS  # three times the sketch's error
+    near = [min(max(s + side * reach, 0.0), 1.0) for s in shares for side in (-1, 1)]
+    measures = []
+    for i in range(n_columns):
+        x = F.col(f"x{i}")
+        measures += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.percentile_approx(x, near, BINS).alias(f"p{i}")]
+    ends = [F.col(f"n{i}") for i in range(n_columns)]
+    for i in range(n_columns):
+        for j, s in enumerate(shares):
+            ends.append((F.col(f"a{i}") if s - reach <= 0 else F.get(f"p{i}", 2 * j)).alias(f"lo{i}_{j}"))
+            ends.append((F.col(f"b{i}") if s + reach >= 1 else F.get(f"p{i}", 2 * j + 1)).alias(f"hi{i}_{j}"))
+    return clean.agg(*measures).select(*ends)
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float] | None]:
-    """Exact quantiles of finite values with linear interpolation between neighbours; None for columns without any."""
-    columns = list(columns)
-    if not columns:
-        return {}
-    x = [finite(F.col(f"`{c}`").cast("double")) for c in columns]
-    row = df.agg(*[e.alias(f"{k}{i}") for i, v in enumerate(x) for k, e in (("n", F.count(v)), ("a", F.min(v)), ("b", F.max(v)))]).first()
-    count = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    ranks = {c: sorted({f(s * (n - 1)) for s in shares for f in (math.floor, math.ceil)}) for c, n in count.items() if n}
-    bounds = [{c: row[f"{k}{i}"] for i, c in enumerate(columns)} for k in "ab"]
-    at = values_at(df, columns, ranks, *bounds)
-    out: dict[str, list[float] | None] = {}
-    for c, n in count.items():
-        places = [(s * (n - 1), math.floor(s * (n - 1)), math.ceil(s * (n - 1))) for s in shares]
-        out[c] = [at[c, lo] + (at[c, hi] - at[c, lo]) * (p - lo) for p, lo, hi in places] if n else None
+def _narrowed(clean: DataFrame, brackets: DataFrame, n_columns: int, shares: Sequence[float]) -> DataFrame:
+    """A row per column and share, ``at`` = column * shares + share: count, values below and inside the
+    bracket, its neighbours, its ends and those of a narrower one that holds the rank."""
+    grid = F.expr("array(" + ", ".join(f"{k / BINS!r}D" for k in range(BINS + 1)) + ")")
+    places = [(i, j, s) for i in range(n_columns) for j, s in enumerate(shares)]
+    measures = [F.first(c).alias(c) for c in brackets.columns]
+    for i, j, _ in places:
+        x, lo, hi = (F.col(c) for c in (f"x{i}", f"lo{i}_{j}", f"hi{i}_{j}"))
+        inside = x.between(lo, hi)
+        measures += [F.count_if(x < lo).alias(f"u{i}_{j}"), F.count_if(inside).alias(f"m{i}_{j}"), F.max(F.when(x < lo, x)).alias(f"v{i}_{j}"), F.min(F.when(x > hi, x)).alias(f"w{i}_{j}")]
+        measures.append(F.percentile_approx(F.when(inside, x), grid, BINS).alias(f"g{i}_{j}"))
+    row = clean.crossJoin(F.broadcast(brackets)).agg(*measures)
+    entries = []
+    for at, (i, j, s) in enumerate(places):
+        of = {k: F.col(f"{k}{i}_{j}") for k in ("u", "m", "v", "w", "g", "lo", "hi")}
+        rank = F.lit(float(s)) * (F.col(f"n{i}") - 1)
+        step = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - of["u"]) / F.greatest(of["m"] - 1, F.lit(1)))) * BINS).cast("int")
+        inner = F.when(step - 2 <= 0, of["lo"]).otherwise(F.get(of["g"], step - 2)), F.when(step + 3 >= BINS, of["hi"]).otherwise(F.get(of["g"], step + 3))
+        parts = {"at": F.lit(at), "n": F.col(f"n{i}"), "rank": rank, "below": of["u"], "inside": of["m"], "before": of["v"], "after": of["w"], "lo": of["lo"], "hi": of["hi"], "lo2": inner[0], "hi2": inner[1]}
+        entries.append(F.struct(*[c.alias(k) for k, c in parts.items()]))
+    return row.select(F.inline(F.array(*entries)))
+
+
+def _values(clean: DataFrame, narrowed: DataFrame, n_columns: int, n_shares: int) -> DataFrame:
+    """``at, n, value``: the interpolated quantile."""
+    names = ("lo", "hi", "lo2", "hi2")
+    row = narrowed.agg(*[F.max(F.when(F.col("at") == at, F.col(k))).alias(f"{k}_{at}") for at in range(n_columns * n_shares) for k in names])
+    entries = []
+    for at in range(n_columns * n_shares):
+        x, lo, hi, lo2, hi2 = F.col(f"x{at // n_shares}"), *[F.col(f"{k}_{at}") for k in names]
+        zone = F.when(x < lo2, 0).when(x <= hi2, 1).otherwise(2)
+        entries.append(F.when(x.between(lo, hi), F.struct(F.lit(at).alias("of"), zone.alias("zone"), x.alias("x"))))
+    near = clean.crossJoin(F.broadcast(row)).select(F.inline(F.array_compact(F.array(*entries))))
+    # Rows beside the narrow bracket are one group each; inside, equal values are.
+    counted = near.groupBy("of", "zone", F.when(F.col("zone") == 1, F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("least"), F.max("x").alias("most"))
+    joined = F.broadcast(narrowed).join(counted, F.col("at") == F.col("of"), "left")
+    upto = Window.partitionBy("at").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.withColumn("start", F.col("below") + F.coalesce(F.sum("rows").over(upto), F.lit(0)))
+
+    def at_rank(r: Column) -> Column:
+        here = F.when((F.col("zone") == 1) & (r >= F.col("start")) & (r < F.col("start") + F.col("rows")), F.col("v"))
+        here = here.when((F.col("zone") == 0) & (r == F.col("start") + F.col("rows") - 1), F.col("most"))
+        return F.max(here.when((F.col("zone") == 2) & (r == F.col("start")), F.col("least")))
+
+    first, second = F.floor("rank"), F.ceil("rank")
+    found = placed.groupBy("at", "n", "rank", "below", "inside", "before", "after").agg(at_rank(first).alias("p"), at_rank(second).alias("q"))
+
+    def value(c: str, r: Column) -> Column:
+        beside = F.coalesce(F.col(c), F.when(r == F.col("below") - 1, F.col("before")).when(r == F.col("below") + F.col("inside"), F.col("after")))
+        return F.coalesce(beside, F.when(F.col("n") > 0, F.raise_error(F.lit("a quantile sketch is off by more than its bound")).cast("double")))
+
+    p, q = value("p", first), value("q", second)
+    return found.select("at", "n", (p + (q - p) * (F.col("rank") - first)).alias("value"))
+
+
+def quantile_table(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """``feature, q``: exact quantiles of finite values with linear interpolation between neighbours, NULL
+    for columns without any; nothing is computed before the table is asked for."""
+    columns, shares, parts = list(columns), [float(s) for s in shares], []
+    for lo in range(0, len(columns), GROUP):
+        some = columns[lo : lo + GROUP]
+        clean = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for i, c in enumerate(some)])
+        narrowed = _narrowed(clean, _brackets(clean, len(some), shares), len(some), shares)
+        table = _values(clean, narrowed, len(some), len(shares))
+        feature = F.element_at(F.array(*[F.lit(c) for c in some]), (F.floor(F.col("at") / len(shares)) + 1).cast("int")).alias("feature")
+        listed = table.groupBy(feature).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all"))
+        parts.append(listed.select("feature", F.when(F.col("n") > 0, F.transform("all", lambda e: e["value"])).alias("q")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "feature string, q array<double>")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
     return out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float] | None]:
+    """The rows of ``quantile_table`` by column: one row per column comes to the driver."""
+    found = {r.feature: r.q for r in quantile_table(df, columns, shares).collect()} if columns else {}
+    return {c: found.get(c) for c in columns}

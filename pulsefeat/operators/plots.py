@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefeat.functions.safe import finite, safe_divide
-from pulsefeat.operators.quality import long_form, quantiles
+from pulsefeat.operators.order import quantile_table
+from pulsefeat.operators.quality import long_form
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def standardized_boxes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         basics += [F.avg(x).alias(f"mean__{i}"), F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"lo__{i}"), F.max(x).alias(f"hi__{i}")]
     table = long_form(df.agg(*basics), columns, ["mean", "std", "lo", "hi"], "feature")
     clean = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
-    q = quantiles(clean, columns, (0.25, 0.5, 0.75))
+    q = quantile_table(clean, columns, (0.25, 0.5, 0.75))
     z = lambda c: safe_divide(c - F.col("mean"), F.col("std"), 1e-300)
     return table.join(q, "feature").select("feature", z(F.col("lo")).alias("z_min"), *[z(F.get("q", i)).alias(n) for i, n in enumerate(("z_q1", "z_median", "z_q3"))], z(F.col("hi")).alias("z_max"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefeat.functions.safe import finite
-from pulsefeat.operators.order import exact_quantiles
+from pulsefeat.operators.order import quantile_table
 from pulsefeat.operators.engineer import duplicate_columns, numeric_columns
 from pulsefeat.operators.validation import long_form
 
@@ -36,12 +36,6 @@ def numeric_inputs(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c in numeric_columns(df) if c not in set(exclude)]
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """``feature, q`` (an array of exact, interpolated quantiles)."""
-    found = exact_quantiles(df, columns, shares)
-    return df.sparkSession.createDataFrame([(c, found[c]) for c in columns], "feature string, q array<double>")
-
-
 def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
 
@@ -68,7 +62,7 @@ def feature_statistics(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
         aggregates += [m.alias(f"{k}__{i}") for k, m in measures.items()]
     table = long_form(df.agg(*aggregates), columns, ["n_rows", "non_null", "infinite", "mean", "std", "variance", "min", "max", "skew", "zeros", "negatives", "positives"], "feature")
     clean = _finite(df, columns)
-    q = quantiles(clean, columns, (0.25, 0.5, 0.75)).select("feature", *[F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = quantile_table(clean, columns, (0.25, 0.5, 0.75)).select("feature", *[F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     table = table.join(q, "feature").join(value_shares(clean, columns), "feature")
     rows = F.nullif(F.col("n_rows"), F.lit(0))
     return table.withColumns(
@@ -181,7 +175,7 @@ def iqr_outliers(df: DataFrame, multiplier: float = 1.5, exclude: Sequence[str]
     are broadcast to the counting pass."""
     columns = numeric_inputs(df, exclude)
     clean = _finite(df, columns)
-    q = quantiles(clean, columns, (0.25, 0.75)).select("feature", F.get("q", 0).alias("q1"), F.get("q", 1).alias("q3"))
+    q = quantile_table(clean, columns, (0.25, 0.75)).select("feature", F.get("q", 0).alias("q1"), F.get("q", 1).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     fences = q.withColumns({"lower": F.col("q1") - multiplier * iqr, "upper": F.col("q3") + multiplier * iqr})
     marked = unpivoted(clean, columns).where("value IS NOT NULL").join(F.broadcast(fences), "feature")

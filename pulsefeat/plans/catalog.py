@@ -643,6 +643,12 @@ def online_replay(spark, sf_dir):
     return r6(online.replay(arrivals(spark, sf_dir), ONLINE))
 
 
+@query(REPLAY_SQL)
+def online_replay_chunks(spark, sf_dir):
+    """The same rows with each machine's rows cut in chunks of 128."""
+    return r6(online.replay(arrivals(spark, sf_dir), ONLINE, chunk_rows=128))
+
+
 @query(REPLAY_SQL)
 def stream_replay(spark, sf_dir):
     """The same rows through Structured Streaming, with the state in the state store."""
@@ -689,7 +695,7 @@ def online_interactions(spark, sf_dir):
 @query(G + "SELECT uid, " + sql_round("coalesce(rotational_speed_rpm, (SELECT median(rotational_speed_rpm) FROM g)) AS rotational_speed_rpm", "coalesce(torque_nm, 0) AS torque_nm") + " FROM g")
 def online_impute(spark, sf_dir):
     df = machines_with_gaps(spark, sf_dir)
-    medians = df.agg(F.percentile("rotational_speed_rpm", F.lit(0.5)).alias("rotational_speed_rpm")).first().asDict()
+    medians = {c: m[0] for c, m in exact_quantiles(df, ["rotational_speed_rpm"], [0.5]).items() if m}
     return r6(online.imputed(df, ["rotational_speed_rpm", "torque_nm"], medians).select("uid", "rotational_speed_rpm", "torque_nm"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from pulsefeat.functions.names import LABELS
 from pulsefeat.functions.safe import clamped_log1p, finite, flag, machine_key, safe_ratio, safe_sqrt
 from pulsefeat.operators.families import median_of
+from pulsefeat.streaming import chunks
 from pulsefeat.streaming.machine import MachineState, OnlineSettings, history_features
 
 NOMINAL_POWER = 2860.0
@@ -77,45 +78,36 @@ def _keyed(df: DataFrame, settings: OnlineSettings, machine: str, timestamp: str
     return df.select(machine_key(F.col(machine) if machine in df.columns else F.lit(None)).alias("machine_key"), F.col(seq).cast("long").alias("seq"), at.alias("at"), reset.alias("reset"), *readings, *carry)
 
 
-def _in_order(keyed: DataFrame) -> DataFrame:
-    """A machine's rows together and in order. The number of partitions is given: rows are few bytes, but
-    costly, and would be coalesced by their bytes."""
-    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(tasks, "machine_key").sortWithinPartitions("machine_key", "seq")
-
-
 def _schema(settings: OnlineSettings) -> StructType:
     return StructType([StructField("machine_key", StringType()), StructField("seq", LongType()), *[StructField(n, DoubleType()) for n in history_features(settings)]])
 
 
-def replay(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", carry: Column | None = None) -> DataFrame:
+def replay(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", carry: Column | None = None, chunk_rows: int | None = None) -> DataFrame:
     """History features of stored rows, in order of ``seq`` per machine. Rows stream through a task
-    sorted; only the current machine's bounded state is held, however long its history. A struct ``carry``
-    goes along with each row, as the last column."""
-    names, carried = history_features(settings), carry is not None
+    sorted; only the current machine's bounded state is held, however long its history. Machines of more
+    than ``chunks.LONGEST`` rows are cut (see ``chunks``); ``chunk_rows`` asks for chunks of so many rows, 0
+    for none. A struct ``carry`` goes along with each row, as the last column."""
     keyed = _keyed(df, settings, machine, timestamp, seq, [] if carry is None else [carry.alias("carry")])
+    rows, cut = chunks.ordered(keyed, settings, chunk_rows)
+    schema = _schema(settings)
+    if carry is not None:
+        schema = StructType([*schema.fields, keyed.schema["carry"]])
+    names, carried = history_features(settings), carry is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, MachineState()
+        follower = chunks.Follower(settings, cut)
         for batch in batches:
-            rows, kept = [], []
-            for i, (key, number, at, reset, *readings) in enumerate(zip(*(c.to_pylist() for c in batch.columns[: 4 + len(settings.sensors)]))):
-                if key != current or reset:
-                    current, state = key, MachineState()
-                features = state.observe(at, dict(zip(settings.sensors, readings)), settings)
-                if features is not None:
-                    rows.append((key, number, *[features[n] for n in names]))
-                    kept.append(i)
-            columns = list(zip(*rows)) or [()] * (2 + len(names))
+            out, kept = [], []
+            for i, key, number, features in follower.observed(batch):
+                out.append((key, number, *[features[n] for n in names]))
+                kept.append(i)
+            columns = list(zip(*out)) or [()] * (2 + len(names))
             made = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[2:]]]
             if carried:
                 made.append(batch.column("carry").take(pa.array(kept, pa.int64())))
             yield pa.RecordBatch.from_arrays(made, names=["machine_key", "seq", *names, *(["carry"] if carried else [])])
 
-    schema = _schema(settings)
-    if carried:
-        schema = StructType([*schema.fields, keyed.schema["carry"]])
-    return _in_order(keyed).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def update_rows(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", medians: dict[str, float] | None = None) -> DataFrame:
@@ -179,26 +171,22 @@ def saved_states(spark: SparkSession, checkpoint: str) -> DataFrame:
     return store.select(F.col("key.machine_key").alias("machine_key"), F.col("value.payload").alias("payload"))
 
 
-def states_after(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq") -> DataFrame:
+def states_after(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", chunk_rows: int | None = None) -> DataFrame:
     """``machine_key, payload``: the states that stored rows lead to (a warm start without output)."""
+    rows, cut = chunks.ordered(_keyed(df, settings, machine, timestamp, seq), settings, chunk_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, MachineState()
+        follower = chunks.Follower(settings, cut)
         for batch in batches:
-            done = []
-            for key, _, at, reset, *readings in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != current:
-                    if current is not None:
-                        done.append((current, state.to_json()))
-                    current, state = key, MachineState()
-                if reset:
-                    state = MachineState()
-                state.observe(at, dict(zip(settings.sensors, readings)), settings)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([p for _, p in done], pa.string())], names=["machine_key", "payload"])
-        if current is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([current]), pa.array([state.to_json()])], names=["machine_key", "payload"])
-
-    return _in_order(_keyed(df, settings, machine, timestamp, seq)).mapInArrow(run, "machine_key string, payload string")
+            done: list[tuple[str, int, str]] = []
+            for _ in follower.observed(batch, done):
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in done], pa.string()), pa.array([c for _, c, _ in done], pa.int64()), pa.array([p for _, _, p in done], pa.string())], names=["machine_key", "at", "payload"])
+        last = follower.state_now()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in last], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["machine_key", "at", "payload"])
+
+    found = rows.mapInArrow(run, "machine_key string, at long, payload string")
+    return found.groupBy("machine_key").agg(F.max_by("payload", "at").alias("payload"))  # a row per machine, or per machine and chunk
 
 
 def imputed(df: DataFrame, names: Sequence[str], medians: dict[str, float] | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsefeat.sources.shared import shared_path
@@ -83,3 +85,26 @@ def test_issues(spark):
     df = spark.createDataFrame([("m", None, 1.0, 1)], "machine_id string, timestamp timestamp, rpm double, machine_failure int")
     assert df.select(online.observation_issues(df, SMALL)).first()[0] == ["missing timestamp", "label machine_failure is not used"]
     assert "time_since_previous_observation_seconds" in history_features(SMALL)
+
+
+@pytest.mark.parametrize("late,size", [("accept", 16), ("accept", 23), ("drop", 16), ("drop", 40)])
+def test_a_machine_over_many_chunks(spark, late, size):
+    settings = OnlineSettings(**{**SMALL.__dict__, "late": late, "deltas_without_time": True})
+    rng = random.Random(size)
+    rows = [("hot", i, rng.choice([None, float(i + rng.randint(-3, 3)), float(i)]), rng.choice([None, float("inf"), *[float(i % 9)] * 8]), rng.random() < 0.01) for i in range(400)]
+    rows += [(f"m{j}", i, float(i), float(j), False) for j in range(5) for i in range(7)] + [(None, i, 5.0, 1.0, i == 3) for i in range(40)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "machine_id string, seq long, at double, rpm double, reset boolean").withColumn("timestamp", F.timestamp_seconds("at")).repartition(3)
+    whole = {(r.machine_key, r.seq): r for r in online.replay(df, settings, chunk_rows=0).collect()}
+    cut = {(r.machine_key, r.seq): r for r in online.replay(df, settings, chunk_rows=size).collect()}
+    assert set(whole) == set(cut) and (late == "accept") == (len(whole) == len(rows))
+    for k, row in whole.items():
+        for name, a, b in zip(row.__fields__, row, cut[k]):
+            assert (a is None) == (b is None) and (a is None or a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), (k, name, a, b)
+    one = {r.machine_key: MachineState.from_json(r.payload) for r in online.states_after(df, settings, chunk_rows=0).collect()}
+    many = {r.machine_key: MachineState.from_json(r.payload) for r in online.states_after(df, settings, chunk_rows=size).collect()}
+    assert set(one) == set(many)
+    for k, state in one.items():
+        other = many[k]
+        assert (state.times, state.values, state.count, state.last, set(state.means)) == (other.times, other.values, other.count, other.last, set(other.means)), k
+        assert all(math.isclose(m, other.means[n], rel_tol=1e-9, abs_tol=1e-12) for n, m in state.means.items())
