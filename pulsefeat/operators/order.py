@@ -1,119 +1,129 @@
-"""Exact order statistics of columns of any length in three scans, as one lazy plan.
+"""Exact order statistics of columns of any length in three scans.
 
-The first scan keeps a mergeable quantile sketch per column, whose error bound gives a bracket that holds
-the wanted rank. The second counts what lies below each bracket and sketches what lies inside, which gives
-a bracket some hundred times narrower. The third counts, among the rows of the first bracket, those beside
-the second one and each value within it; the running sum over these is the rank. No column is sorted and
-no values come to the driver. One-row results of a scan are broadcast to the next.
+The first scan keeps a mergeable quantile sketch per column, whose error bound gives a bracket around each
+wanted rank. The second counts what lies below each bracket and sketches what lies inside, which gives a
+bracket some hundred times narrower. The third counts, among the rows of the first bracket, those beside
+the second one and each value within it; the running sum over these is the rank. No column is sorted; a
+scan is one job, and what comes to the driver are a few numbers per column and share.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefeat.functions.safe import finite
 
 #: Accuracy of the sketches: ranks are known to one part in BINS of the values.
 BINS = 1024
-#: Columns of one plan; a sketch of each is in a task's memory.
+#: Points of a bracket at which the second sketch is read.
+POINTS = 128
+#: Columns of one scan; a sketch of each is in a task's memory.
 GROUP = 16
 
 
-def _brackets(clean: DataFrame, n_columns: int, shares: Sequence[float]) -> DataFrame:
-    """One row: per column and share the ends of a bracket around its rank, and per column the count."""
+@dataclass
+class _Place:
+    """A wanted share of a column: its bracket, what is below that, and the narrower bracket."""
+
+    column: int
+    rank: float
+    lo: float
+    hi: float
+    below: int = 0
+    inside: int = 0
+    points: list[float] = field(default_factory=list)
+
+    def narrow(self) -> tuple[float, float]:
+        step = math.floor(min(max((self.rank - self.below) / max(self.inside - 1, 1), 0.0), 1.0) * POINTS)
+        reach = math.ceil(2 * POINTS / BINS)  # twice the sketch's error
+        return self.lo if step <= reach else self.points[step - reach], self.hi if step + 1 + reach >= POINTS else self.points[step + 1 + reach]
+
+
+def _brackets(clean: DataFrame, n_columns: int, shares: Sequence[float]) -> list[list[_Place]]:
+    """Per column with values its places, in order of shares."""
     reach = 3 / BINS  # three times the sketch's error
     near = [min(max(s + side * reach, 0.0), 1.0) for s in shares for side in (-1, 1)]
-    measures = []
-    for i in range(n_columns):
-        x = F.col(f"x{i}")
-        measures += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.percentile_approx(x, near, BINS).alias(f"p{i}")]
-    ends = [F.col(f"n{i}") for i in range(n_columns)]
+    measures = [F.expr(e) for i in range(n_columns) for e in (f"count(x{i}) AS n{i}", f"min(x{i}) AS a{i}", f"max(x{i}) AS b{i}")]
+    row = clean.agg(*measures, *[F.percentile_approx(f"x{i}", near, BINS).alias(f"p{i}") for i in range(n_columns)]).first()
+    out = []
     for i in range(n_columns):
-        for j, s in enumerate(shares):
-            ends.append((F.col(f"a{i}") if s - reach <= 0 else F.get(f"p{i}", 2 * j)).alias(f"lo{i}_{j}"))
-            ends.append((F.col(f"b{i}") if s + reach >= 1 else F.get(f"p{i}", 2 * j + 1)).alias(f"hi{i}_{j}"))
-    return clean.agg(*measures).select(*ends)
-
-
-def _narrowed(clean: DataFrame, brackets: DataFrame, n_columns: int, shares: Sequence[float]) -> DataFrame:
-    """A row per column and share, ``at`` = column * shares + share: count, values below and inside the
-    bracket, its neighbours, its ends and those of a narrower one that holds the rank."""
-    grid = F.expr("array(" + ", ".join(f"{k / BINS!r}D" for k in range(BINS + 1)) + ")")
-    places = [(i, j, s) for i in range(n_columns) for j, s in enumerate(shares)]
-    measures = [F.first(c).alias(c) for c in brackets.columns]
-    for i, j, _ in places:
-        x, lo, hi = (F.col(c) for c in (f"x{i}", f"lo{i}_{j}", f"hi{i}_{j}"))
-        inside = x.between(lo, hi)
-        measures += [F.count_if(x < lo).alias(f"u{i}_{j}"), F.count_if(inside).alias(f"m{i}_{j}"), F.max(F.when(x < lo, x)).alias(f"v{i}_{j}"), F.min(F.when(x > hi, x)).alias(f"w{i}_{j}")]
-        measures.append(F.percentile_approx(F.when(inside, x), grid, BINS).alias(f"g{i}_{j}"))
-    row = clean.crossJoin(F.broadcast(brackets)).agg(*measures)
-    entries = []
-    for at, (i, j, s) in enumerate(places):
-        of = {k: F.col(f"{k}{i}_{j}") for k in ("u", "m", "v", "w", "g", "lo", "hi")}
-        rank = F.lit(float(s)) * (F.col(f"n{i}") - 1)
-        step = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - of["u"]) / F.greatest(of["m"] - 1, F.lit(1)))) * BINS).cast("int")
-        inner = F.when(step - 2 <= 0, of["lo"]).otherwise(F.get(of["g"], step - 2)), F.when(step + 3 >= BINS, of["hi"]).otherwise(F.get(of["g"], step + 3))
-        parts = {"at": F.lit(at), "n": F.col(f"n{i}"), "rank": rank, "below": of["u"], "inside": of["m"], "before": of["v"], "after": of["w"], "lo": of["lo"], "hi": of["hi"], "lo2": inner[0], "hi2": inner[1]}
-        entries.append(F.struct(*[c.alias(k) for k, c in parts.items()]))
-    return row.select(F.inline(F.array(*entries)))
-
-
-def _values(clean: DataFrame, narrowed: DataFrame, n_columns: int, n_shares: int) -> DataFrame:
-    """``at, n, value``: the interpolated quantile."""
-    names = ("lo", "hi", "lo2", "hi2")
-    row = narrowed.agg(*[F.max(F.when(F.col("at") == at, F.col(k))).alias(f"{k}_{at}") for at in range(n_columns * n_shares) for k in names])
-    entries = []
-    for at in range(n_columns * n_shares):
-        x, lo, hi, lo2, hi2 = F.col(f"x{at // n_shares}"), *[F.col(f"{k}_{at}") for k in names]
-        zone = F.when(x < lo2, 0).when(x <= hi2, 1).otherwise(2)
-        entries.append(F.when(x.between(lo, hi), F.struct(F.lit(at).alias("of"), zone.alias("zone"), x.alias("x"))))
-    near = clean.crossJoin(F.broadcast(row)).select(F.inline(F.array_compact(F.array(*entries))))
-    # Rows beside the narrow bracket are one group each; inside, equal values are.
-    counted = near.groupBy("of", "zone", F.when(F.col("zone") == 1, F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("least"), F.max("x").alias("most"))
-    joined = F.broadcast(narrowed).join(counted, F.col("at") == F.col("of"), "left")
-    upto = Window.partitionBy("at").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.withColumn("start", F.col("below") + F.coalesce(F.sum("rows").over(upto), F.lit(0)))
+        n, least, most, ends = (row[f"{k}{i}"] for k in "nabp")
+        few = n < 4 * BINS  # few values are a bracket as a whole
+        out.append([_Place(i, s * (n - 1), least if few or s <= reach else ends[2 * j], most if few or s + reach >= 1 else ends[2 * j + 1]) for j, s in enumerate(shares)] if n else [])
+    return out
 
-    def at_rank(r: Column) -> Column:
-        here = F.when((F.col("zone") == 1) & (r >= F.col("start")) & (r < F.col("start") + F.col("rows")), F.col("v"))
-        here = here.when((F.col("zone") == 0) & (r == F.col("start") + F.col("rows") - 1), F.col("most"))
-        return F.max(here.when((F.col("zone") == 2) & (r == F.col("start")), F.col("least")))
 
-    first, second = F.floor("rank"), F.ceil("rank")
-    found = placed.groupBy("at", "n", "rank", "below", "inside", "before", "after").agg(at_rank(first).alias("p"), at_rank(second).alias("q"))
+def _case(cases: Sequence[str]) -> str:
+    return f"CASE of {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(cases))} END"
 
-    def value(c: str, r: Column) -> Column:
-        beside = F.coalesce(F.col(c), F.when(r == F.col("below") - 1, F.col("before")).when(r == F.col("below") + F.col("inside"), F.col("after")))
-        return F.coalesce(beside, F.when(F.col("n") > 0, F.raise_error(F.lit("a quantile sketch is off by more than its bound")).cast("double")))
 
-    p, q = value("p", first), value("q", second)
-    return found.select("at", "n", (p + (q - p) * (F.col("rank") - first)).alias("value"))
+def _number(x: float) -> str:
+    return f"{float(x)!r}D"
 
 
-def quantile_table(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """``feature, q``: exact quantiles of finite values with linear interpolation between neighbours, NULL
-    for columns without any; nothing is computed before the table is asked for."""
-    columns, shares, parts = list(columns), [float(s) for s in shares], []
+def _count(values: DataFrame, columns: list[list[_Place]], many: int) -> None:
+    """Fill in what is below each bracket, inside it, and the points of its sketch."""
+    # A value is one row of its column, by how many low ends it passes, and one of each bracket around it.
+    passed = _case([" + ".join(f"CAST(x >= {_number(p.lo)} AS INT)" for p in places) or "0" for places in columns])
+    around = ", ".join(f"{j}, " + _case([f"IF(x BETWEEN {_number(places[j].lo)} AND {_number(places[j].hi)}, x, NULL)" if places else "NULL" for places in columns]) for j in range(many))
+    rows = values.selectExpr("of", f"{passed} AS low", f"stack({many + 1}, -1, x, {around}) AS (at, y)").where("y IS NOT NULL")
+    points = F.percentile_approx(F.expr("IF(at < 0, NULL, y)"), [k / POINTS for k in range(POINTS + 1)], BINS)
+    for row in rows.groupBy("of", "at", F.expr("IF(at < 0, low, 0) AS low")).agg(F.count(F.lit(1)).alias("n"), points.alias("points")).collect():
+        if row.at >= 0:
+            columns[row.of][row.at].inside, columns[row.of][row.at].points = row.n, row.points
+        else:
+            for place in columns[row.of][row.low :]:
+                place.below += row.n
+
+
+def _values(values: DataFrame, columns: list[list[_Place]], many: int) -> dict[tuple[int, int], float]:
+    """The interpolated quantile of every place."""
+
+    def zone(j: int, places: list[_Place]) -> str:
+        p, (lo, hi) = places[j], places[j].narrow()
+        return f"CASE WHEN NOT x BETWEEN {_number(p.lo)} AND {_number(p.hi)} THEN NULL WHEN x < {_number(lo)} THEN 0 WHEN x <= {_number(hi)} THEN 1 ELSE 2 END"
+
+    zones = ", ".join(f"{j}, " + _case([zone(j, places) if places else "NULL" for places in columns]) for j in range(many))
+    near = values.selectExpr("of", "x", f"stack({many}, {zones}) AS (at, zone)").where("zone IS NOT NULL")
+    # Rows beside the narrow bracket are one group each; inside, equal values are.
+    counted = near.groupBy("of", "at", "zone", F.expr("IF(zone = 1, x, NULL) AS v")).agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("least"), F.max("x").alias("most"))
+    of_place = lambda get: _case(["CASE at " + " ".join(f"WHEN {j} THEN {get(p)}" for j, p in enumerate(places)) + " END" if places else "NULL" for places in columns])
+    upto = Window.partitionBy("of", "at").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("earlier", F.coalesce(F.sum("rows").over(upto), F.lit(0))).withColumns({"start": F.expr(f"{of_place(lambda p: f'{p.below}L')} + earlier"), "rank": F.expr(of_place(lambda p: _number(p.rank)))})
+    at_rank = "max(CASE WHEN zone = 1 AND {r} >= start AND {r} < start + rows THEN v WHEN zone = 0 AND {r} = start + rows - 1 THEN most WHEN zone = 2 AND {r} = start THEN least END)"
+    found = placed.groupBy("of", "at").agg(F.expr(at_rank.format(r="floor(rank)")).alias("p"), F.expr(at_rank.format(r="ceil(rank)")).alias("q")).collect()
+    out = {}
+    for row in found:
+        rank = columns[row.of][row.at].rank
+        if row.p is None or row.q is None:
+            raise RuntimeError("a quantile sketch is off by more than its bound")
+        out[row.of, row.at] = row.p + (row.q - row.p) * (rank - math.floor(rank))
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles of finite values with linear interpolation between neighbours; None for columns without any."""
+    ordered, out = sorted({float(s) for s in shares}), {}
     for lo in range(0, len(columns), GROUP):
-        some = columns[lo : lo + GROUP]
+        some = list(columns)[lo : lo + GROUP]
         clean = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for i, c in enumerate(some)])
-        narrowed = _narrowed(clean, _brackets(clean, len(some), shares), len(some), shares)
-        table = _values(clean, narrowed, len(some), len(shares))
-        feature = F.element_at(F.array(*[F.lit(c) for c in some]), (F.floor(F.col("at") / len(shares)) + 1).cast("int")).alias("feature")
-        listed = table.groupBy(feature).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all"))
-        parts.append(listed.select("feature", F.when(F.col("n") > 0, F.transform("all", lambda e: e["value"])).alias("q")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "feature string, q array<double>")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+        places = _brackets(clean, len(some), ordered)
+        found = {}
+        if any(places):
+            values = clean.selectExpr(f"stack({len(some)}, " + ", ".join(f"{i}, x{i}" for i in range(len(some))) + ") AS (of, x)").where("x IS NOT NULL")
+            _count(values, places, len(ordered))
+            found = _values(values, places, len(ordered))
+        for i, c in enumerate(some):
+            out[c] = [found[i, ordered.index(float(s))] for s in shares] if places[i] else None
     return out
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float] | None]:
-    """The rows of ``quantile_table`` by column: one row per column comes to the driver."""
-    found = {r.feature: r.q for r in quantile_table(df, columns, shares).collect()} if columns else {}
-    return {c: found.get(c) for c in columns}
+def quantile_table(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """``feature, q`` (an array of exact quantiles, NULL for columns without values)."""
+    found = exact_quantiles(df, columns, shares)
+    return df.sparkSession.createDataFrame([(c, found[c]) for c in columns], "feature string, q array<double>")

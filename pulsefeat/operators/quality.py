@@ -1,7 +1,8 @@
 """Quality audit of a feature table: statistics, duplicates, correlations, outliers, leakage, advice.
 
 A table's statistics are aggregates turned into a row per column with ``stack``; nothing but such
-summaries is collected, and audits are lazy until asked for.
+summaries is collected. Tables are lazy, but for exact quantiles (three scans of the columns) and the search
+for equal columns, which run when a table that needs them is built.
 """
 
 from __future__ import annotations
