@@ -41,6 +41,43 @@ def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
 
 
+#: A frequent-items sketch of so many counters surely holds every value with a share of HEAVY of the rows.
+COUNTERS, HEAVY = 4096, 1e-3
+
+
+def top_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, top_share``: the most frequent value's share of rows, nulls counting as a value. Mergeable
+    frequent-items sketches find the candidates, a second pass counts these, so that no row per distinct
+    value is shuffled; columns without a value of HEAVY of the rows are counted value by value."""
+    columns, spark = list(columns), df.sparkSession
+    clean = _finite(df, columns).toDF(*[f"x{i}" for i in range(len(columns))])
+    if not columns:
+        return spark.createDataFrame([], "feature string, top_share double")
+    row = clean.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"approx_top_k(x{i}, {round(1 / HEAVY)}, {COUNTERS})").alias(f"k{i}") for i in range(len(columns))]).first()
+    found = [(i, item.item) for i in range(len(columns)) for item in row[f"k{i}"] or []]
+    stacked = clean.selectExpr(f"stack({len(columns)}, " + ", ".join(f"{i}, x{i}" for i in range(len(columns))) + ") AS (of, x)")
+    best: dict[int, int] = {}
+    if found:
+        candidates = F.broadcast(spark.createDataFrame(found, "number int, value double"))  # 1 / HEAVY values a column at most
+        counted = stacked.join(candidates, (F.col("of") == F.col("number")) & F.col("x").eqNullSafe(F.col("value"))).groupBy("of", "x").count()
+        best = {r.of: r.n for r in counted.groupBy("of").agg(F.max("count").alias("n")).collect()}
+    sure = [(columns[i], n / row.n) for i, n in best.items() if n >= HEAVY * row.n]
+    table = spark.createDataFrame(sure, "feature string, top_share double")
+    light = [i for i in range(len(columns)) if best.get(i, 0) < HEAVY * row.n]
+    if not light or not row.n:
+        return table
+    counts = stacked.where(F.col("of").isin(light)).groupBy("of", "x").count().groupBy("of").agg((F.max("count") / row.n).alias("top_share"))
+    return table.union(counts.select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("of") + 1), "top_share"))
+
+
+def near_constants(df: DataFrame, limit: float = NEAR_CONSTANT, exclude: Sequence[str] = ()) -> DataFrame:
+    """``feature, top_share`` of the columns whose most frequent value has ``limit`` of the rows, but not all."""
+    columns = numeric_inputs(df, exclude)
+    clean = _finite(df, columns)
+    same = clean.agg(*[F.coalesce(F.min(f"`{c}`") == F.max(f"`{c}`"), F.lit(True)).alias(f"same__{i}") for i, c in enumerate(columns)])
+    return top_shares(clean, columns).join(long_form(same, columns, ["same"], "feature"), "feature").where(~F.col("same") & (F.col("top_share") >= limit)).select("feature", "top_share")
+
+
 def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, n_unique, top_share``: distinct values and the most frequent one's share of rows,
     nulls counting as a value for the share. Counts are pre-aggregated per value."""

@@ -476,6 +476,19 @@ def near_constant(spark, sf_dir):
     return r6(quality.near_constant_features(quality.feature_statistics(df)))
 
 
+@query("WITH e AS (SELECT CASE WHEN event_id % 400 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rare, value, user_id::DOUBLE AS machine FROM events), n AS (SELECT 'rare' AS feature, max(n) AS n FROM (SELECT count(*) AS n FROM e GROUP BY rare) UNION ALL SELECT 'value', max(n) FROM (SELECT count(*) AS n FROM e GROUP BY value) UNION ALL SELECT 'machine', max(n) FROM (SELECT count(*) AS n FROM e GROUP BY machine)) SELECT feature, round(n / (SELECT count(*) FROM e)::DOUBLE, 6) AS top_share FROM n")
+def most_frequent_shares(spark, sf_dir):
+    df = telemetry(spark, sf_dir).select(F.when(F.col("seq") % 400 == 0, 1.0).otherwise(0.0).alias("rare"), "value", F.col("machine_id").cast("double").alias("machine"))
+    return r6(quality.top_shares(df, df.columns))
+
+
+@query(ORACLES["near_constant"])
+def near_constant_scan(spark, sf_dir):
+    """The same columns from frequent-items sketches and a count of their candidates."""
+    df = telemetry(spark, sf_dir).select(F.when(F.col("seq") % 400 == 0, 1.0).otherwise(0.0).alias("rare"), "value")
+    return r6(quality.near_constants(df))
+
+
 @query("SELECT * FROM (VALUES ('physical__temperature_gap_k', 'difference__process_minus_air_temperature'), ('physical__torque_per_rpm', 'ratio__torque_to_speed_ratio')) t(kept, duplicate)")
 def duplicate_pairs(spark, sf_dir):
     df = machines(spark, sf_dir)
