@@ -1,27 +1,31 @@
 """HTML extraction by consensus host paths.
 
 Each page's containers are scored by the paragraphs they hold. A page chooses the best one's generalised
-path (tags and classes from the root, without digits) and those of the blocks beside it that read as text:
-40 characters or a heading, not links for the most part. Choices are votes, summed per host in Spark: a
-path that half of the pages having it choose is won for the host, others that some page chose are lost.
-A page is then extracted again from the elements on the paths it chose or the host has won, without the
-lost ones, if hardly anything would be left then, with them. Around an element on a path, the nearest
-article or main counts as a whole; without one, what holds it and the page's h1.
+path (tags and classes from the root, without digits) and those of the blocks beside it that aren't links
+for the most part. Choices are votes, summed per host in Spark: a path that half of the pages having it
+choose is won for the host, also on pages where it is mostly links. What a vote takes away must be clutter
+by another sign: text beside the best container goes only where at least REPEATS pages of the host, half of
+those with that path and not all of one main text, have the very same text there. A page is then extracted
+again from the elements on the paths left. Around an element on a path, the nearest article or main counts
+as a whole; without one, what holds it and the page's h1.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out, by tag, role and class or id words (``social-science`` is no ``social``); a form or an element
-of such a name that holds most of the page is kept, and so are headings inside an article's header. A
+left out, by tag, role and class or id words (``social-science`` is no ``social``); a form, an element of
+such a name or talk in a main that holds most of the page is kept, and so are headings inside an article's
+header. A
 block's white space becomes one space, and blocks follow each other in page order, one space between them.
 
 Defined edge cases
   * null or empty html: empty text; pages cut off anywhere: what was there until then
   * a null or host-less URL: pages without a host vote together
-  * no container with text: empty text; repeated rows get equal texts; ties go to the smaller path
+  * no container with text: empty text; text in links only: that counts; repeated rows get equal texts; ties
+    go to the smaller path
   * an empty table gives an empty result; columns other than page_id, url and html are not read
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -35,10 +39,8 @@ from pulsefeat.llm.url_filter import host_of
 
 #: Hosts with their paths are broadcast up to this count, and 64 MB.
 MAX_BROADCAST_HOSTS = 100_000
-#: Paths that are lost for the host are left out if the rest holds this share of a page's text.
-LEAST_SHARE = 0.3
-#: Characters from which on a block beside the best container reads as text.
-LEAST_TEXT = 40
+#: Pages of a host that must have the same text beside their best container for it to be clutter.
+REPEATS = 3
 
 # HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +54,7 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond".split())
 TALK_WORDS = frozenset("discussion discussions replies responses".split())  # of readers, unless in an article
 FRAME_WORDS = frozenset("aside banner footer header masthead".split())
+TOP_WORDS = frozenset("header masthead".split())  # of an article's own top too
 CLUTTER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar cookie cookies consent copyright notice alert popup modal overlay "
@@ -140,9 +143,11 @@ class _Builder(HTMLParser):
         node.clutter = tag == "form"
         if values and tag not in ROOTS:
             hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-            talk = COMMENT_WORDS if parent.in_article else ALL_COMMENT_WORDS
+            talk = COMMENT_WORDS if parent.in_article or parent.in_main else ALL_COMMENT_WORDS
+            frame = FRAME_WORDS - TOP_WORDS if parent.in_article or parent.in_main else FRAME_WORDS
             node.skipped = node.skipped or hidden or values.get("role", "") in SKIPPED_ROLES or _marked(tokens, talk, BESIDE_WORDS)
-            node.clutter = node.clutter or _marked(tokens, CLUTTER_WORDS, BESIDE_WORDS) or _marked(tokens, FRAME_WORDS, PLACE_WORDS)
+            node.clutter = node.clutter or _marked(tokens, CLUTTER_WORDS, BESIDE_WORDS) or _marked(tokens, frame, PLACE_WORDS)
+            node.clutter = node.clutter or (parent.in_main and not parent.in_article and _marked(tokens, TALK_WORDS, BESIDE_WORDS))
         self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -214,13 +219,16 @@ def container_of(node: Node) -> Node | None:
 
 
 def path_scores(page: Page) -> dict[str, float]:
-    """Score of each generalised path: characters outside links of the blocks directly in its
-    containers, and half of what the containers right below have."""
+    """Score of each generalised path: characters outside links (if there are any) of the blocks directly
+    in its containers, and, but for the page's root, half of what the containers right below have."""
     scores: dict[str, float] = {}
+    only_links = all(linked for _, text, linked, _ in _live(page) if text.strip())
     for node, text, linked, _ in _live(page):
         size = len(text.strip())
         at, share = container_of(node), 1.0
-        while at is not None and share > 0.2 and size and not linked:
+        while at is not None and share > 0.2 and size and (only_links or not linked):
+            if share < 1 and at.tag in ("html", "body"):
+                break
             bonus = 1.5 if at.tag in ("article", "main") else 1.0
             scores[at.path] = scores.get(at.path, 0.0) + share * size * bonus
             at, share = container_of(at.parent) if at.parent else None, share / 2
@@ -240,8 +248,22 @@ def _above(node: Node | None) -> list[Node]:
     return chain
 
 
-def choice(page: Page) -> tuple[list[str], list[str]]:
-    """The paths that a page chooses, the best container's first, and those of other blocks beside it.
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+@dataclass
+class Choice:
+    """What a page says of its paths."""
+
+    best: str | None = None
+    beside: dict[str, bool] = field(default_factory=dict)  # paths of blocks beside the best container: chosen or not
+    texts: dict[str, int] = field(default_factory=dict)  # digest of the text on each of these
+    main: int = 0  # digest of the text on the best path
+
+
+def choice(page: Page) -> Choice:
+    """The paths that a page chooses: the best container's, and those of other blocks beside it.
 
     Beside it are, at each level up to its main or the page's root, the blocks and containers next to
     what holds it; text right in what holds it is a block of the path ending in ``>#text``. Inside an
@@ -249,7 +271,7 @@ def choice(page: Page) -> tuple[list[str], list[str]]:
     live = [c for c in _live(page) if c[1].strip()]
     best = best_path(path_scores(page))
     if best is None:
-        return [], []
+        return Choice()
     roots = _widened(live, {best})
     spine: dict[int, bool] = {}  # what holds the elements that count; whether blocks in it are beside them
     for node, *_ in live:
@@ -260,19 +282,22 @@ def choice(page: Page) -> tuple[list[str], list[str]]:
             marked = above[at].tag in ("article", "main")
             for i in range(at + 1, len(above)):
                 spine[id(above[i])] = i <= within if within is not None else not marked
-    beside: dict[int, list] = {}
+    beside: dict[str, list] = {}  # per path: its text, characters of it, and of those in links
+    main: list[str] = []
     for node, text, linked, _ in live:
         above = _above(node)
         if any(id(n) in roots for n in above):
+            main.append(text.strip())
             continue
         at = next(i for i, n in enumerate(above) if id(n) in spine)
         if not spine[id(above[at])]:
             continue
-        own = beside.setdefault(id(above[at - 1]) if at else -id(node), [above[at - 1].path if at else f"{node.path}>#text", 0, 0, False])
-        size = len(text.strip())
-        own[1:] = [own[1] + size, own[2] + linked * size, own[3] or node.heading]
-    reads = {path for path, size, linked, heading in beside.values() if 2 * linked <= size and (heading or size >= LEAST_TEXT)}
-    return [best, *sorted(reads - {best})], sorted({path for path, *_ in beside.values()} - reads - {best})
+        own = beside.setdefault(above[at - 1].path if at else f"{node.path}>#text", [[], 0, 0])
+        own[0].append(text.strip())
+        own[1], own[2] = own[1] + len(text.strip()), own[2] + linked * len(text.strip())
+    beside.pop(best, None)
+    texts = {path: digest(" ".join(" ".join(parts).split())) for path, (parts, _, _) in beside.items()}
+    return Choice(best, {path: 2 * linked <= size for path, (_, size, linked) in beside.items()}, texts, digest(" ".join(" ".join(main).split())))
 
 
 def _widened(live: list[tuple[Node, str, bool, bool]], paths: set[str]) -> set[int]:
@@ -322,59 +347,56 @@ def text_on(page: Page, paths: set[str]) -> str:
     return " ".join("".join(out).split())
 
 
-def extract(html: str, won: set[str], lost: set[str]) -> str:
-    """Text on the page's own and the host's paths, without those lost for the host if enough is left."""
+def extract(html: str, won: set[str], repeated: dict[str, int]) -> str:
+    """Text on the page's own and the host's paths, without what the host repeats beside its main text."""
     page = parse(html)
-    chosen, others = choice(page)
-    if not chosen:
+    found = choice(page)
+    if found.best is None:
         return ""
-    own = {*chosen, *(p for p in others if p in won)}
-    whole = text_on(page, own)
-    if own.isdisjoint(lost) or own <= lost:
-        return whole
-    text = text_on(page, own - lost)
-    return text if len(text) >= LEAST_SHARE * len(whole) else whole
+    own = {p for p, chosen in found.beside.items() if (chosen or p in won) and repeated.get(p) != found.texts[p]}
+    return text_on(page, {found.best, *own})
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, host_path, won, lost``: the path that most pages choose, and the contested paths, which some
-    but not all of the pages that have them choose: won if half of these do."""
+    """``host, host_path, won, repeated``: the best path of most pages; the contested paths, which some
+    but not all of the pages that have them choose, if half of these do; and the paths beside the best one
+    with the digest of a text that pages of different main texts repeat there."""
 
     def run(batches):
         for batch in batches:
-            found = [choice(parse(html.as_py() or "")) for html in batch.column("html")]
-            columns = [pa.array([x[i] for x in found], pa.list_(pa.string())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], names=["host", "chosen", "others"])
+            out = []
+            for html in batch.column("html"):
+                found = choice(parse(html.as_py() or ""))
+                votes = [{"path": found.best, "vote": 1, "text": None, "main": found.main}] if found.best is not None else []
+                out.append(votes + [{"path": p, "vote": int(chosen), "text": found.texts[p], "main": found.main} for p, chosen in found.beside.items()])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("vote", pa.int32()), ("text", pa.int64()), ("main", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, kind)], names=["host", "votes"])
 
     asked = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
-    choices = asked.mapInArrow(run, "host string, chosen array<string>, others array<string>")
-    vote = F.concat(F.transform("chosen", lambda p: F.struct(p.alias("path"), F.lit(1).alias("vote"))), F.transform("others", lambda p: F.struct(p.alias("path"), F.lit(0).alias("vote"))))
-    votes = choices.select("host", F.explode(vote).alias("x")).groupBy("host", "x.path").agg(F.sum("x.vote").alias("votes"), F.count("*").alias("pages"))
-    contested = F.col("votes").between(1, F.col("pages") - 1)
-    return (
-        votes.where("votes > 0")
-        .groupBy("host")
-        .agg(
-            F.min(F.struct(-F.col("votes"), "path")).alias("best"),
-            F.collect_list(F.when(contested & (2 * F.col("votes") >= F.col("pages")), F.col("path"))).alias("won"),
-            F.collect_list(F.when(contested & (2 * F.col("votes") < F.col("pages")), F.col("path"))).alias("lost"),
-        )
-        .select("host", F.col("best.path").alias("host_path"), "won", "lost")
-    )
+    votes = asked.mapInArrow(run, "host string, votes array<struct<path: string, vote: int, text: long, main: long>>").select("host", F.inline("votes"))
+    # Per text of a path first, so that a hot host's votes are added up before they meet.
+    texts = votes.groupBy("host", "path", "text").agg(F.sum("vote").alias("votes"), F.count("*").alias("pages"), (F.min("main") < F.max("main")).alias("differ"))
+    same = F.when(F.col("text").isNotNull() & F.col("differ") & (F.col("pages") >= REPEATS), F.struct("pages", "text"))
+    paths = texts.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"), F.sum(F.when(F.col("text").isNull(), F.col("pages"))).alias("first"), F.max(same).alias("same"))
+    won = F.when(F.col("votes").between(1, F.col("pages") - 1) & (2 * F.col("votes") >= F.col("pages")), F.col("path"))
+    repeated = F.when(2 * F.col("same.pages") >= F.col("pages"), F.struct("path", F.col("same.text").alias("text")))
+    best = F.when(F.col("first") > 0, F.struct(-F.col("first"), "path"))
+    hosts = paths.groupBy("host").agg(F.min(best).alias("best"), F.collect_list(won).alias("won"), F.collect_list(repeated).alias("repeated"))
+    return hosts.select("host", F.col("best.path").alias("host_path"), "won", "repeated")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per page ``page_id, url, text, n_chars, host_path``."""
     small_batches(pages.sparkSession)
     winners = cut(host_paths(pages), "host-paths").withColumnRenamed("host", "voted")
-    width = F.octet_length("voted") + F.octet_length("host_path") + sum(F.octet_length(F.concat_ws(" ", c)) for c in ("won", "lost"))
+    width = F.octet_length("voted") + F.coalesce(F.octet_length("host_path"), F.lit(0)) + F.octet_length(F.concat_ws(" ", "won", "repeated.path")) + 8 * F.size("repeated")
     asked = pages.select(F.col("page_id").cast("long"), "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
     asked = asked.join(bounded_broadcast(winners, MAX_BROADCAST_HOSTS, width), F.col("host") == F.col("voted"), "left")
 
     def run(batches):
         for batch in batches:
-            texts = [extract(html.as_py() or "", set(won.as_py() or ()), set(lost.as_py() or ())) for html, won, lost in zip(*(batch.column(c) for c in ("html", "won", "lost")))]
+            texts = [extract(html.as_py() or "", set(won.as_py() or ()), {r["path"]: r["text"] for r in repeated.as_py() or ()}) for html, won, repeated in zip(*(batch.column(c) for c in ("html", "won", "repeated")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("host_path")], names=["page_id", "url", "text", "host_path"])
 
-    texts = asked.select("page_id", "url", "html", "host_path", "won", "lost").mapInArrow(run, "page_id long, url string, text string, host_path string")
+    texts = asked.select("page_id", "url", "html", "host_path", "won", "repeated").mapInArrow(run, "page_id long, url string, text string, host_path string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host_path")

@@ -59,13 +59,34 @@ def test_main_text_keeps_what_lies_around_the_best_container(spark):
     assert [r.text for r in html_extract.main_texts(df).orderBy("page_id").collect()] == [want for _, want in cases]
 
 
-def test_host_consensus_overrules_a_page(spark):
+def test_host_takes_away_only_what_it_repeats(spark):
     long = "<p>" + "the story goes on " * 8 + "</p>"
-    normal = page(f"<div class=story>{long}</div><div class=extra><p>little</p></div>")
+    normal = lambda i: page(f"<div class=story>{long}<p>{i}</p></div><div class=extra><p>All rights reserved</p></div>")
     odd = page(f"<div class=story>{long}</div><div class=extra>{long * 2}</div>")
-    df = spark.createDataFrame([(i, "http://one.example.com/a", normal, "") for i in range(5)] + [(9, "http://one.example.com/b", odd, "")], PAGES)
-    got = {r.page_id: r for r in html_extract.main_texts(df).collect()}
-    assert got[9].host_path.endswith("div.story") and got[9].text == got[1].text
+    rows = [(i, "http://one.example.com/a", normal(i), "") for i in range(5)] + [(9, "http://one.example.com/b", odd, ""), (10, "http://two.example.com/", normal(7), "")]
+    rows += [(20 + i, "http://copies.example.com/", normal(8), "") for i in range(5)]
+    got = {r.page_id: r for r in html_extract.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    story = ("the story goes on " * 8).strip()
+    assert got[9].host_path.endswith("div.story") and got[9].text == f"{story} {story} {story}"
+    assert got[1].text == f"{story} 1"
+    # One page, or copies of one page, repeat nothing.
+    assert got[10].text == f"{story} 7 All rights reserved" and got[20].text == f"{story} 8 All rights reserved"
+
+
+def test_five_pages_keep_their_text(spark):
+    lead, links = "A short lead.", "".join(f"<p><a href=x{c}>Paragraph {c} of the story goes on and on for a while.</a></p>" for c in "abcdefgh")
+    cases = [
+        (f"<main><p>{lead}</p><section id=discussion>{STORY}</section></main>", f"{lead} {PLAIN}"),
+        (f"<article><div class=header><h1>Title</h1><p>{lead}</p></div>{STORY}</article>", f"Title {lead} {PLAIN}"),
+        (f"<div class=lead><p>{lead}</p></div><div class=body>{STORY}</div>", f"{lead} {PLAIN}"),
+        (f"<div class=body>{links}</div>", PLAIN),
+    ]
+    rows = [(i, f"http://h{i}.example.com/", page(h), "") for i, (h, _) in enumerate(cases)]
+    rows += [(10 + i, "http://nine.example.com/", page(f"<div class=one>{STORY}<p>{i}</p></div><div class=two><a href=q>Elsewhere there is more of this, page {i}</a></div>"), "") for i in range(9)]
+    rows += [(30, "http://nine.example.com/", page(f"<div class=one><p>{lead}</p>{STORY}</div><div class=two>{STORY}</div>"), "")]
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(4)] == [want for _, want in cases]
+    assert got[30] == f"{lead} {PLAIN} {PLAIN}" and got[13] == f"{PLAIN} 3"
 
 
 def test_host_does_not_overrule_what_its_voters_lack(spark):
@@ -115,10 +136,11 @@ def test_known_articles_of_generated_hosts(spark):
         "<div class=w><h1>{0}</h1><p>{1}</p><div class='e x{4}'>{2}</div></div><div class=ads>{3}</div>",
         "<div class=k{4}><p>{0}</p></div><div class=l><p>{1}</p></div><div class=m>{2}</div><div class=z><a href=q>{3}</a></div>",
         "<main><section class=t><h2>{0}</h2></section><section class=u><p>{1}</p>{2}</section></main><div class=z><p>{3}</p></div>",
+        "<div class=q><p>Ours since ninety-nine</p></div><div class=k><p>{0}</p></div><div class=l><p>{1}</p>{2}</div><div class=z><p>No part may be used, not even this</p></div>",
     ]
     rows, want = [], {}
-    for i in range(400):
-        layout = i % 4
+    for i in range(500):
+        layout = i % 5
         parts = [say(rng.randint(5, 12)), say(rng.randint(4, 60)), "".join(f"<p>{say(rng.randint(5, 60))}</p>" for _ in range(rng.randint(3, 9))), say(rng.randint(3, 12))]
         rows.append((i, f"http://host{layout}.example.com/{i}", page(layouts[layout].format(*parts, i)), ""))
         want[i] = " ".join(re.sub("<[^>]*>", " ", " ".join(parts[:3])).split())
