@@ -254,7 +254,7 @@ def test_queries_equal_sql(spark):
     from pulsefeat.llm.queries import ORACLES, QUERIES
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in ORACLES.items():
         result = c.execute(sql)
