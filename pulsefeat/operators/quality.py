@@ -152,34 +152,73 @@ def infinite_values(df: DataFrame) -> DataFrame:
     return long_form(df.agg(*aggregates), columns, ["positive", "negative"], "feature").where("positive + negative > 0")
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``feature_a, feature_b, n, correlation`` of every pair of columns over rows where both have a
-    value. Partitions add up products of column blocks with matrix arithmetic; their partial sums, a
-    row per pair, are combined by an aggregate."""
-    columns = list(columns)
-    clean = _finite(df, columns)
-    centre = clean.agg(*[F.avg(F.col(f"`{c}`")) for c in columns]).first()
-    centre = np.array([v if v is not None else 0.0 for v in centre])
-    upper = np.triu_indices(len(columns), 1)
+#: Columns of a tile; a worker holds six matrices of two tiles at most, whatever the number of columns.
+TILE = 256
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _tile_sums(clean: DataFrame, left: Sequence[int], right: Sequence[int]) -> DataFrame:
+    """Per partition and pair of columns of two tiles, the sums of a correlation over rows that have both."""
+    both = sorted({*left, *right})
+    # About the means, so that squares don't swallow small deviations.
+    some = clean.select(*[f"x{i}" for i in both])
+    centre = np.array([v or 0.0 for v in some.agg(*[F.avg(f"x{i}") for i in both]).first()])
+    a, b = [both.index(i) for i in left], [both.index(i) for i in right]
 
     def partial(batches):
-        n = sx = sy = sxx = syy = sxy = None
+        total = None
         for batch in batches:
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]).astype(float) - centre
-            m = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            q = x * x
-            sums = (m.T @ m, x.T @ m, m.T @ x, q.T @ m, m.T @ q, x.T @ x)
-            n, sx, sy, sxx, syy, sxy = sums if n is None else (a + b for a, b in zip((n, sx, sy, sxx, syy, sxy), sums))
-        if n is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *[pa.array(v[upper]) for v in (n, sx, sy, sxx, syy, sxy)]], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    parts = clean.mapInArrow(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
-    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+            z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(both))]).astype(float) - centre
+            known = (~np.isnan(z)).astype(float)
+            z = np.nan_to_num(z)
+            x, y, m, k = z[:, a], z[:, b], known[:, a], known[:, b]
+            sums = (m.T @ k, x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y)
+            if total is None:
+                total = list(sums)
+            else:
+                for old, new in zip(total, sums):
+                    old += new
+        for row, i in enumerate(left if total is not None else ()):
+            use = [c for c, j in enumerate(right) if j > i]
+            if use:
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(use), pa.int32()), pa.array([right[c] for c in use], pa.int32()), *[pa.array(v[row, use]) for v in total]], names=["i", "j", *SUMS])
+
+    return some.mapInArrow(partial, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS))
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature_a, feature_b, n, correlation`` of every pair of columns over rows where both have a
+    value. Columns are cut into tiles; each pair of tiles is a scan of their columns alone, in which
+    partitions add up products with matrix arithmetic. The partial sums, a row per pair, are combined by an
+    aggregate."""
+    columns = list(columns)
+    clean = _finite(df, columns).toDF(*[f"x{i}" for i in range(len(columns))])
+    tiles = [range(lo, min(lo + TILE, len(columns))) for lo in range(0, len(columns), TILE)]
+    parts = [_tile_sums(clean, tiles[t], tiles[u]) for t in range(len(tiles)) for u in range(t, len(tiles))]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, n long, correlation double")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    total = rows.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     r = F.when((F.col("n") > 1) & (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy")), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
-    name = lambda k: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(k) + 1)
-    return total.where("n > 0").select(name("i").alias("feature_a"), name("j").alias("feature_b"), F.col("n").cast("long").alias("n"), r.alias("correlation"))
+    names = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(columns)), "k int, name string"))  # a row per column
+    named = total.where("n > 0").join(names.select(F.col("k").alias("i"), F.col("name").alias("feature_a")), "i").join(names.select(F.col("k").alias("j"), F.col("name").alias("feature_b")), "j")
+    return named.select("feature_a", "feature_b", F.col("n").cast("long").alias("n"), r.alias("correlation"))
+
+
+def correlation_matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, correlations``: a heat map's rows in order of ``columns``, 1 on the diagonal, NULL where
+    there is no correlation; from the pairs, a row per column."""
+    columns = list(columns)
+    sides = pairs.select(F.col("feature_a").alias("feature"), F.col("feature_b").alias("other"), "correlation").union(pairs.select("feature_b", "feature_a", "correlation"))
+    by_name = sides.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("other", "correlation"))).alias("of"))
+    spark = pairs.sparkSession
+    named = spark.createDataFrame(list(enumerate(columns)), "place int, name string").join(by_name, F.col("name") == F.col("feature"), "left")
+    order = F.broadcast(spark.createDataFrame([(columns,)], "names array<string>"))
+    value = F.transform("names", lambda c: F.when(c == F.col("name"), F.lit(1.0)).otherwise(F.col("of")[c]))
+    return named.crossJoin(order).orderBy("place").select(F.col("name").alias("feature"), value.alias("correlations"))
 
 
 def high_correlations(pairs: DataFrame, limit: float = HIGH_CORRELATION) -> DataFrame:

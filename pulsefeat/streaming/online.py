@@ -75,6 +75,8 @@ def _keyed(df: DataFrame, settings: OnlineSettings, machine: str, timestamp: str
     at = F.unix_micros(observed_at(df, timestamp)) / F.lit(1e6)
     readings = [(F.col(s).cast("double") if s in df.columns else F.lit(None).cast("double")).alias(s) for s in settings.sensors]
     reset = F.coalesce(F.col("reset").cast("boolean"), F.lit(False)) if "reset" in df.columns else F.lit(False)
+    if "action" in df.columns:
+        carry = [*carry, F.lower(F.col("action").cast("string")).alias("action")]
     return df.select(machine_key(F.col(machine) if machine in df.columns else F.lit(None)).alias("machine_key"), F.col(seq).cast("long").alias("seq"), at.alias("at"), reset.alias("reset"), *readings, *carry)
 
 
@@ -125,31 +127,45 @@ def update_rows(df: DataFrame, settings: OnlineSettings, machine: str = "machine
 
 
 class MachineProcessor(StatefulProcessor):
-    """The state of one machine in the state store, as versioned JSON."""
+    """The state of one machine in the state store, as versioned JSON. If given, an observation more than
+    ``idle_seconds`` after the last one, both by their own times, finds an expired state and begins anew. Rows with an ``action`` are no observations: ``start`` makes an empty state, ``reset``
+    empties it, ``forget`` removes it; an unknown action is an error."""
 
-    def __init__(self, settings: OnlineSettings):
-        self.settings = settings
+    def __init__(self, settings: OnlineSettings, idle_seconds: float | None = None):
+        self.settings, self.idle_seconds = settings, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("machine", StructType([StructField("payload", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        machine = MachineState.from_json(self.state.get()[0] if self.state.exists() else None)
+        machine: MachineState | None = MachineState.from_json(self.state.get()[0]) if self.state.exists() else None
         names = history_features(self.settings)
         out = []
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        for row in batch.itertuples(index=False):
-            values = row._asdict()
-            if values["reset"]:
+        for values in batch.to_dict("records"):
+            action = values.get("action")
+            if isinstance(action, str) and action:
+                if action not in ACTIONS:
+                    raise ValueError(f"unknown action {action!r}; there are {', '.join(ACTIONS)}")
+                machine = None if action == "forget" else MachineState() if action == "reset" or machine is None else machine
+                continue
+            at = None if pd.isna(values["at"]) else float(values["at"])
+            if values["reset"] or machine is None or self.expired(machine, at):
                 machine = MachineState()
             reading = {s: None if pd.isna(values[s]) else float(values[s]) for s in self.settings.sensors}
-            features = machine.observe(None if pd.isna(values["at"]) else float(values["at"]), reading, self.settings)
+            features = machine.observe(at, reading, self.settings)
             if features is not None:
                 out.append([key[0], values["seq"], *[features[n] for n in names]])
-        self.state.update((machine.to_json(),))
+        if machine is not None:
+            self.state.update((machine.to_json(),))
+        elif self.state.exists():
+            self.state.clear()
         frame = pd.DataFrame(out, columns=["machine_key", "seq", *names])
         yield frame.astype({n: "float64" for n in names})
 
+    def expired(self, machine: MachineState, at: float | None) -> bool:
+        return self.idle_seconds is not None and at is not None and machine.last is not None and at - machine.last > self.idle_seconds
+
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.state.update((initialState["payload"].iloc[0],))
 
@@ -157,12 +173,19 @@ class MachineProcessor(StatefulProcessor):
         pass
 
 
-def stream(df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", warm: DataFrame | None = None) -> DataFrame:
-    """History features of a streaming DataFrame. ``warm``: ``machine_key, payload`` of saved states."""
+ACTIONS = ("start", "reset", "forget")
+
+
+def stream(
+    df: DataFrame, settings: OnlineSettings, machine: str = "machine_id", timestamp: str = "timestamp", seq: str = "seq", warm: DataFrame | None = None, idle_seconds: float | None = None
+) -> DataFrame:
+    """History features of a streaming DataFrame. ``warm``: ``machine_key, payload`` of saved states; more
+    than ``idle_seconds`` after its last observation a machine begins anew. A column ``action`` has control rows."""
     keyed = _keyed(df, settings, machine, timestamp, seq).groupBy("machine_key")
     return keyed.transformWithStateInPandas(
-        statefulProcessor=MachineProcessor(settings), outputStructType=_schema(settings), outputMode="append", timeMode="None", initialState=warm.groupBy("machine_key") if warm is not None else None
-    )
+        statefulProcessor=MachineProcessor(settings, idle_seconds), outputStructType=_schema(settings), outputMode="append",
+        timeMode="None", initialState=warm.groupBy("machine_key") if warm is not None else None,
+    )
 
 
 def saved_states(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import numpy as np
 
-from pulsefeat.operators import quality
+from pyspark.sql import functions as F
+
+from pulsefeat.operators import quality, split
 
 
 def test_most_frequent_shares_are_exact(spark):
@@ -33,3 +35,52 @@ def test_no_row_per_value_is_shuffled(spark):
     finally:
         type(df).groupBy = original
     assert [original(rows, *keys).count().count() for keys, rows in seen if keys == ("of", "x")] == [1]
+
+
+def test_correlations_in_tiles(spark, monkeypatch):
+    """Three tiles of a table with gaps: the pairs and the heat map of one."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((400, 3))
+    data = np.column_stack([base @ rng.standard_normal(3) + 0.3 * rng.standard_normal(400) + 1e6 for _ in range(8)])
+    data[rng.random(data.shape) < 0.1] = np.nan
+    columns = [f"c {i}" for i in range(8)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in data], ", ".join(f"`{c}` double" for c in columns)).repartition(5)
+    whole = {(r.feature_a, r.feature_b): (r.n, r.correlation) for r in quality.correlation_pairs(df, columns).collect()}
+    monkeypatch.setattr(quality, "TILE", 3)
+    pairs = quality.correlation_pairs(df, columns)
+    tiled = {(r.feature_a, r.feature_b): (r.n, r.correlation) for r in pairs.collect()}
+    assert len(tiled) == 28 and set(tiled) == set(whole)
+    for (a, b), (n, r) in tiled.items():
+        x, y = data[:, columns.index(a)], data[:, columns.index(b)]
+        use = ~np.isnan(x) & ~np.isnan(y)
+        assert n == use.sum() == whole[a, b][0] and abs(r - np.corrcoef(x[use], y[use])[0, 1]) < 1e-9 > abs(r - whole[a, b][1])
+    matrix = quality.correlation_matrix(pairs, columns).collect()
+    assert [r.feature for r in matrix] == columns and all(matrix[i].correlations[i] == 1.0 for i in range(8))
+    assert matrix[2].correlations[5] == matrix[5].correlations[2] == tiled["c 2", "c 5"][1]
+
+
+def test_two_thousand_columns(spark):
+    """A worker holds sums of two tiles, not of all columns."""
+    columns = [f"c{i}" for i in range(2000)]
+    df = spark.range(12).select(*[((F.col("id") * (i + 3)) % 7 + i % 5).cast("double").alias(c) for i, c in enumerate(columns)])
+    written = df.repartition(2)
+    some = quality._tile_sums(quality._finite(written, columns).toDF(*[f"x{i}" for i in range(2000)]), range(0, 256), range(1792, 2000))
+    assert some.groupBy("i", "j").count().count() == 256 * 208
+    assert max(6 * 256 * 256 * 8, 0) < 4 << 20
+
+
+def test_split_by_ever_longer_prefixes(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id AS k", "IF(id % 3 = 0, 'a', IF(id % 7 = 0, NULL, 'b')) AS y")
+    want = sorted(map(tuple, split.stratified(df, "k", "y").collect()), key=str)
+    monkeypatch.setattr(split, "PREFIX", 1)
+    monkeypatch.setattr(split, "RANKED", 3)
+    assert sorted(map(tuple, split.stratified(df, "k", "y").collect()), key=str) == want
+    monkeypatch.setattr(split, "MAX_CLASSES", 0)
+    assert sorted(map(tuple, split.stratified(df, "k", "y").collect()), key=str) == want
+
+
+def test_one_key_may_hold_most_of_a_class(spark, monkeypatch):
+    monkeypatch.setattr(split, "RANKED", 5)
+    df = spark.range(300).selectExpr("IF(id < 250, 7L, id) AS k", "1 AS y")
+    parts = {(r.k, r.split) for r in split.stratified(df, "k", "y").collect()}
+    assert len(parts) == len({k for k, _ in parts}) and {s for _, s in parts} >= {"train"}
