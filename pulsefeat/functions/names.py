@@ -68,13 +68,14 @@ def feature_name(group: str, source: str, operation: str) -> str:
     return "__".join(part for part in (safe_name(group), safe_name(source), safe_name(operation)) if part)
 
 
-def canonical_names(columns: list[str]) -> list[str]:
-    """Each column's canonical name, or its own cleaned name; two columns of one name are an error."""
+def canonical_names(columns: list[str], snake: bool = False) -> list[str]:
+    """Each column's canonical name, or its own cleaned name, in snake case if asked for; two columns of one
+    name are an error."""
     cleaned = [" ".join(column.replace("﻿", "").split()) for column in columns]
     keys = [" ".join(re.sub(r"[\[\]_()]", " ", clean.lower()).split()) for clean in cleaned]
     taken = {ALIASES[key] for key in keys if key in ALIASES}
     other = {key: name for key, name in OTHER_ALIASES.items() if name not in taken}
-    out = [ALIASES.get(key, other.get(key, clean)) for key, clean in zip(keys, cleaned)]
+    out = [ALIASES.get(key, other.get(key, (safe_name(clean) or clean) if snake else clean)) for key, clean in zip(keys, cleaned)]
     repeated = sorted({n for n in out if out.count(n) > 1})
     if repeated:
         raise ValueError(f"several columns mean {repeated}")

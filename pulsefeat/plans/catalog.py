@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsefeat.functions.names import SENSORS
@@ -15,6 +15,7 @@ from pulsefeat.operators import families as fam
 from pulsefeat.operators import plots, quality, split, validation
 from pulsefeat.operators.order import exact_quantiles
 from pulsefeat.operators.engineer import FeatureEngineer, Settings, constant_columns, duplicate_columns, group_counts
+from pulsefeat.sources import loading, ordering
 from pulsefeat.sources.shared import shared_path
 from pulsefeat.sources.tables import normalized
 from pulsefeat.sources.views import AI4I_SQL, GAP_SQL, machines, machines_with_gaps, telemetry
@@ -425,6 +426,27 @@ def mode_detection(spark, sf_dir):
     return spark.createDataFrame([(validation.timestamp_column(df).replace("event_time", "ts"), validation.data_mode(df))], "timestamp_column string, data_mode string")
 
 
+LOADED_SQL = "WITH e AS (SELECT user_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS ts, event_id % 3 AS kind FROM events), k AS (SELECT user_id, ts, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT count(*) AS n FROM e GROUP BY user_id, ts, kind), g AS (SELECT max(epoch_us(ts) - epoch_us(before)) AS gap FROM (SELECT ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM e WHERE ts IS NOT NULL)) "
+
+
+@query(LOADED_SQL + "SELECT count(*) AS n_rows, count(DISTINCT user_id) AS machines, count(*) - count(ts) AS untimed, (SELECT sum(n - 1) FROM k)::BIGINT AS repeated_keys, (SELECT sum(n - 1) FROM r)::BIGINT AS repeated_rows, (SELECT round(gap / 1e6, 6) FROM g) AS longest_gap FROM e")
+def loaded_diagnostics(spark, sf_dir):
+    """A table under raw names, some times missing, put in order: what the order tells."""
+    raw = telemetry(spark, sf_dir).select(F.col("machine_id").alias("Machine ID"), F.when(F.col("seq") % 50 != 0, F.col("timestamp")).cast("string").alias("Event Timestamp"), (F.col("seq") % 3).alias("kind"))
+    d = loading.prepared(raw, "timeseries").diagnostics
+    return r6(spark.createDataFrame([(d.rows, d.machines, d.untimed, d.repeated_keys, d.repeated_rows, d.longest_gap_seconds)], "n_rows long, machines long, untimed long, repeated_keys long, repeated_rows long, longest_gap double"))
+
+
+@query("SELECT event_id, user_id AS machine, ts AS at, row_number() OVER (ORDER BY user_id, ts, event_id) - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_machine FROM events")
+def loaded_order(spark, sf_dir):
+    """The rows of a loaded table lie in order: how many of other machines lie before each one's."""
+    raw = telemetry(spark, sf_dir).select(F.col("machine_id").alias("Machine ID"), F.col("timestamp").alias("Event Timestamp"), F.col("seq").alias("event id"))
+    numbered, _ = ordering.ordered(raw, "Machine ID", "Event Timestamp", row="place")
+    first = numbered.groupBy("Machine ID").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
+    start = first.withColumn("before_machine", F.coalesce(F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("Machine ID").alias("of"), "before_machine")
+    return numbered.join(start, F.col("Machine ID") == F.col("of")).select(F.col("event id").alias("event_id"), F.col("Machine ID").alias("machine"), F.col("Event Timestamp").alias("at"), "before_machine")
+
+
 # --- splits -------------------------------------------------------------------------------------
 
 

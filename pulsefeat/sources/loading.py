@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsefeat.functions.names import LABELS, SENSORS, TARGET, leak_columns, machine_column
 from pulsefeat.operators import validation
+from pulsefeat.sources.ordering import Diagnostics, ordered
 from pulsefeat.sources.tables import load_table, normalized
 
 #: Fixed value: the number of the public machine-failure dataset in its repository.
@@ -25,6 +26,8 @@ class Loaded:
     timestamp: str | None
     machine: str | None
     warnings: list[str]
+    profile: DataFrame | None = None
+    diagnostics: Diagnostics | None = None
 
 
 def download(url: str, timeout: float = 60) -> bytes:
@@ -81,22 +84,33 @@ def resolve(spark: SparkSession, path: str | None = None, urls: tuple[str, ...]
     raise ValueError("no source answers: " + "; ".join(failures))
 
 
-def load_dataset(spark: SparkSession, path: str | None = None, mode: str = "auto", **sources) -> Loaded:
-    """Read, name, drop empty rows, detect the mode, check; sensors become numbers."""
-    df = normalized(resolve(spark, path, **sources))
+def load_dataset(spark: SparkSession, path: str | None = None, mode: str = "auto", sort: bool = True, **sources) -> Loaded:
+    """Read a table and prepare it (see ``prepared``)."""
+    return prepared(resolve(spark, path, **sources), mode, sort)
+
+
+def prepared(raw: DataFrame, mode: str = "auto", sort: bool = True) -> Loaded:
+    """Name, drop empty rows, detect the mode, check; sensors become numbers, and a time series is put in
+    order, which also gives its diagnostics. With a profile."""
+    df = normalized(raw)
     mode = validation.data_mode(df, mode)
     target = TARGET if TARGET in df.columns else None
-    if problems := validation.schema_problems(df, target):
+    if problems := validation.schema_problems(df, target, ai4i=mode == "ai4i"):
         raise ValueError("; ".join(problems))
     df = validation.convert_numeric(df, [c for c in SENSORS if c in df.columns])
-    timestamp = validation.timestamp_column(df) if mode == "timeseries" else None
+    timestamp, machine, diagnostics = validation.timestamp_column(df) if mode == "timeseries" else None, machine_column(df.columns), None
     if timestamp:
         df = validation.convert_timestamp(df, timestamp)
     warnings = [f"label column {c}" for c in leak_columns(df.columns) if c != target]
+    if timestamp and sort:
+        df, diagnostics = ordered(df, machine, timestamp)
+        found = {"rows without a time": diagnostics.untimed, "rows of a machine and time seen before": diagnostics.repeated_keys, "repeated rows": diagnostics.repeated_rows}
+        warnings += [f"{n} {text}" for text, n in found.items() if n]
     if mode == "ai4i":
         out_of_range = validation.range_diagnostics(df).where("violations > 0").select("column_name", "violations").collect()
         warnings += [f"{r.column_name}: {r.violations} values out of range" for r in out_of_range]
-    return Loaded(df, mode, timestamp, machine_column(df.columns), warnings)
+    profile = validation.profile(df, target) if target else None
+    return Loaded(df, mode, timestamp, machine, warnings, profile, diagnostics)
 
 
 def printed_summary(loaded: Loaded) -> str:

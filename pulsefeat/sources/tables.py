@@ -7,17 +7,33 @@ import math
 from datetime import date, datetime
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsefeat.functions.names import canonical_names
 
 
-def load_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", infer: bool = True) -> DataFrame:
-    """A CSV with a header. A byte-order mark before the first name goes; a file without rows is an
-    error. Give ``encoding="ISO-8859-1"`` for Latin-1 files."""
+def detected_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines of the files are, else Latin-1, from one scan of their bytes. FileNotFoundError
+    for a path that isn't there, ValueError for files without a line or that can't be read."""
+    try:
+        row = spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.is_valid_utf8("value")).alias("bad")).first()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in (error.getCondition() or "") or "does not exist" in str(error):
+            raise FileNotFoundError(f"there is no {path}") from error
+        raise ValueError(f"{path} can't be read as text") from error
+    if not row.lines:
+        raise ValueError(f"{path} is empty")
+    return "ISO-8859-1" if row.bad else "UTF-8"
+
+
+def load_csv(spark: SparkSession, path: str, encoding: str | None = None, infer: bool = True) -> DataFrame:
+    """A CSV with a header, in the encoding given or found in its bytes. A byte-order mark before the first
+    name goes; a file without rows is an error."""
+    encoding = encoding or detected_encoding(spark, path)
     df = spark.read.csv(path, header=True, inferSchema=infer, encoding=encoding)
-    df = df.toDF(*[c.replace("﻿", "").replace("ï»¿", "") for c in df.columns])
+    df = df.toDF(*[c.replace("\ufeff", "").replace("ï»¿", "") for c in df.columns])
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
     return df
@@ -31,9 +47,10 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format(kind if kind in ("orc", "json") else "parquet").load(path)
 
 
-def normalized(df: DataFrame) -> DataFrame:
-    """Canonical column names; rows that are null throughout are dropped."""
-    return df.toDF(*canonical_names(df.columns)).na.drop("all")
+def normalized(df: DataFrame, snake: bool = False) -> DataFrame:
+    """Canonical column names, those of unknown columns in snake case if asked for; rows that are null
+    throughout are dropped."""
+    return df.toDF(*canonical_names(df.columns, snake)).na.drop("all")
 
 
 def save_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
