@@ -23,6 +23,18 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     return with_span.groupBy(*keys, place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def histograms(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
+    """``feature, bin, n_rows, lo, hi`` of all columns in one plan: their ends are one aggregate, and rows are
+    counted per column and bin in another."""
+    columns = list(columns)
+    clean = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
+    ends = clean.agg(*[e.alias(f"{k}{i}") for i in range(len(columns)) for k, e in (("lo", F.min(f"x{i}")), ("hi", F.max(f"x{i}")))])
+    entries = ", ".join(f"{i}, x{i}, lo{i}, hi{i}" for i in range(len(columns)))
+    rows = clean.crossJoin(F.broadcast(ends)).selectExpr(f"stack({len(columns)}, {entries}) AS (of, x, lo, hi)").where("x IS NOT NULL")
+    counted = rows.groupBy("of", "lo", "hi", F.expr(f"CAST(IF(hi > lo, least(floor((x - lo) * {bins} / nullif(hi - lo, 0D)), {bins - 1}), 0) AS INT) AS bin")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("of") + 1).alias("feature"), "bin", "n_rows", "lo", "hi")
+
+
 def standardized_boxes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles and ends of each column in units of its deviation (divisor n - 1); constants give NULL."""
     basics = []

@@ -280,25 +280,42 @@ def leakage_report(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> D
 
 
 def recommendations(statistics: DataFrame, leaks: DataFrame, high: DataFrame, to_target: DataFrame) -> DataFrame:
-    """``feature, recommendation``: the first rule that holds."""
+    """``feature, recommendation, reason``: the first rule that holds."""
     flagged = leaks.select("feature", F.lit(True).alias("leaks"))
     pairs = high.select(F.col("feature_a").alias("feature")).union(high.select("feature_b")).distinct().withColumn("paired", F.lit(True))
     table = statistics.join(flagged, "feature", "left").join(pairs, "feature", "left").join(to_target.select("feature", "abs_correlation"), "feature", "left")
-    rule = (
-        F.when(F.col("is_constant"), "REMOVE_CONSTANT")
-        .when(F.col("leaks"), "REVIEW_LEAKAGE")
-        .when(F.col("missing_ratio") > MISSING, "IMPUTE")
-        .when(F.col("possible_identifier"), "REVIEW_IDENTIFIER")
-        .when(F.col("is_near_constant"), "REVIEW_NEAR_CONSTANT")
-        .when(F.col("paired"), "REVIEW_HIGH_CORRELATION")
-        .when(F.col("abs_correlation") >= TARGET_CORRELATION, "REVIEW_TARGET_CORRELATION")
-        .otherwise("KEEP")
-    )
-    return table.select("feature", rule.alias("recommendation")).orderBy("feature")
+    # The labels.
+    rules = [
+        (F.col("is_constant"), "REMOVE_CONSTANT", "it has one value only"),
+        (F.col("leaks"), "REVIEW_LEAKAGE", "it may give the target away"),
+        (F.col("missing_ratio") > MISSING, "IMPUTE", "many values are missing"),
+        (F.col("possible_identifier"), "REVIEW_IDENTIFIER", "almost every value is another"),
+        (F.col("is_near_constant"), "REVIEW", "almost all rows have one value"),
+        (F.col("paired"), "REVIEW", "it says almost the same as another feature"),
+        (F.col("abs_correlation") >= TARGET_CORRELATION, "REVIEW", "it goes strongly with the target"),
+    ]
+    label, reason = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for rule, name, text in rules:
+        label, reason = label.when(rule, name), reason.when(rule, text)
+    return table.select("feature", label.otherwise("KEEP").alias("recommendation"), reason.otherwise("nothing stands out").alias("reason")).orderBy("feature")
+
+
+def check_input(df: DataFrame, target: str | None = None, name: str = "table") -> None:
+    """TypeError for what is no DataFrame, ValueError for one without rows, with names that repeat or
+    without the target."""
+    if not isinstance(df, DataFrame):
+        raise TypeError(f"{name} must be a Spark DataFrame, not {type(df).__name__}")
+    if len(set(df.columns)) < len(df.columns):
+        raise ValueError(f"column names of {name} repeat")
+    if target is not None and target not in df.columns:
+        raise ValueError(f"{name} has no column {target}")
+    if df.isEmpty():
+        raise ValueError(f"{name} has no rows")
 
 
 def audit(df: DataFrame, target: str, row_key: Sequence[str], exclude: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The eleven tables of an audit. ``row_key`` names columns that identify a row."""
+    check_input(df, target)
     skip = [target, *row_key, *exclude]
     statistics = feature_statistics(df, skip)
     columns = numeric_inputs(df, skip)
@@ -319,12 +336,13 @@ def audit(df: DataFrame, target: str, row_key: Sequence[str], exclude: Sequence[
     }
 
 
-def summary(df: DataFrame, statistics: DataFrame, recommended: DataFrame, n_duplicate_pairs: int = 0) -> DataFrame:
-    """``metric, value``: an audit in nine numbers."""
+def summary(df: DataFrame, statistics: DataFrame, recommended: DataFrame, n_duplicate_pairs: int = 0, duplicates: DataFrame | None = None) -> DataFrame:
+    """``metric, value``: an audit in nine numbers. ``duplicates``: the pairs that an audit found, counted."""
     s = statistics.agg(
         F.max("n_rows").alias("rows"), F.count(F.lit(1)).alias("features"), F.sum("missing").alias("missing_cells"), F.sum("infinite").alias("infinite_cells"),
         F.count_if(F.col("is_constant")).alias("constant_features"), F.count_if(F.col("is_near_constant") & ~F.col("is_constant")).alias("near_constant_features"), F.count_if(F.col("possible_identifier")).alias("identifier_like_features"),
     )
     r = recommended.agg(F.count_if(F.col("recommendation") == "KEEP").alias("kept_features"))
-    wide = s.crossJoin(F.broadcast(r)).withColumn("duplicate_pairs", F.lit(n_duplicate_pairs))
+    pairs = r.select(F.lit(n_duplicate_pairs).alias("duplicate_pairs")) if duplicates is None else duplicates.agg(F.count(F.lit(1)).alias("duplicate_pairs"))
+    wide = s.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(pairs))
     return wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns]).unpivot([], wide.columns, "metric", "value")

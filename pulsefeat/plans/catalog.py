@@ -10,16 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsefeat.functions import names
 from pulsefeat.functions.names import SENSORS
 from pulsefeat.operators import families as fam
 from pulsefeat.operators import plots, quality, split, validation
 from pulsefeat.operators.order import exact_quantiles
-from pulsefeat.operators.engineer import FeatureEngineer, Settings, constant_columns, duplicate_columns, group_counts
+from pulsefeat.operators.engineer import FeatureEngineer, Settings, constant_columns, duplicate_columns, engineer, group_counts
 from pulsefeat.sources import loading, ordering
 from pulsefeat.sources.shared import shared_path
 from pulsefeat.sources.tables import normalized
 from pulsefeat.sources.views import AI4I_SQL, GAP_SQL, machines, machines_with_gaps, telemetry
-from pulsefeat.streaming import online
+from pulsefeat.streaming import online, snapshots
 from pulsefeat.streaming.machine import OnlineSettings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,9 +606,9 @@ def _audited(spark, sf_dir) -> DataFrame:
 SPEED_IS_ID = "(SELECT count(DISTINCT rotational_speed_rpm) >= 0.98 * count(rotational_speed_rpm) FROM g)"
 
 
-@query(G + f"SELECT * FROM (VALUES ('air_temperature_k', 'KEEP'), ('fixed', 'REMOVE_CONSTANT'), ('gap', 'KEEP'), ('machine_failure_copy', 'REVIEW_LEAKAGE'), ('process_temperature_k', 'KEEP'), ('rotational_speed_rpm', CASE WHEN {SPEED_IS_ID} THEN 'REVIEW_IDENTIFIER' ELSE 'KEEP' END), ('sparse', 'IMPUTE'), ('tool_wear_min', 'REVIEW_HIGH_CORRELATION'), ('torque_nm', 'REVIEW_HIGH_CORRELATION'), ('wear2', 'REVIEW_HIGH_CORRELATION')) t(feature, recommendation)")
+@query(G + f"SELECT * FROM (VALUES ('air_temperature_k', 'KEEP'), ('fixed', 'REMOVE_CONSTANT'), ('gap', 'KEEP'), ('machine_failure_copy', 'REVIEW_LEAKAGE'), ('process_temperature_k', 'KEEP'), ('rotational_speed_rpm', CASE WHEN {SPEED_IS_ID} THEN 'REVIEW_IDENTIFIER' ELSE 'KEEP' END), ('sparse', 'IMPUTE'), ('tool_wear_min', 'REVIEW'), ('torque_nm', 'REVIEW'), ('wear2', 'REVIEW')) t(feature, recommendation)")
 def recommendations(spark, sf_dir):
-    return quality.audit(_audited(spark, sf_dir), "machine_failure", ["uid"])["recommendations"]
+    return quality.audit(_audited(spark, sf_dir), "machine_failure", ["uid"])["recommendations"].select("feature", "recommendation")
 
 
 @query(
@@ -820,3 +821,148 @@ def relation_sample(spark, sf_dir):
 @query("SELECT DISTINCT user_id AS machine_id FROM events ORDER BY 1 LIMIT 8")
 def machines_shown(spark, sf_dir):
     return plots.machines_shown(telemetry(spark, sf_dir), "machine_id")
+
+
+# --- more of loading, checks, fits and plots -------------------------------------------------------
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_id % 10 > 0 THEN ts END AS timestamp FROM events")
+def timestamp_coercion(spark, sf_dir):
+    """Texts that are no times become NULL."""
+    df = telemetry(spark, sf_dir).select("seq", F.when(F.col("seq") % 10 > 0, F.col("timestamp").cast("string")).otherwise("no time").alias("timestamp"))
+    return validation.convert_timestamp(df, "timestamp")
+
+
+def _listed(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+@query(f"SELECT count(*) AS known, count(*) >= 7 AS is_ai4i FROM (DESCRIBE {AI4I_SQL}) WHERE column_name IN ({_listed(names.DETECTABLE)})")
+def ai4i_detection(spark, sf_dir):
+    df = machines(spark, sf_dir)
+    return spark.createDataFrame([(len(set(df.columns) & set(names.DETECTABLE)), names.is_ai4i(df.columns))], "known long, is_ai4i boolean")
+
+
+@query(
+    M + f"SELECT 'missing column ' || c AS problem FROM (SELECT unnest([{_listed(names.AI4I)}]) AS c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE {AI4I_SQL})) "
+    "UNION ALL SELECT 'the target has fewer than two classes' FROM m WHERE machine_failure = 0 HAVING count(DISTINCT machine_failure) < 2"
+)
+def schema_problems_found(spark, sf_dir):
+    """What a table of healthy machines lacks to be a table of the known kind."""
+    df = machines(spark, sf_dir).where("machine_failure = 0")
+    return spark.createDataFrame([(p,) for p in validation.schema_problems(df, "machine_failure", ai4i=True)], "problem string")
+
+
+@query(f"SELECT column_name FROM (DESCRIBE {AI4I_SQL}) WHERE lower(column_name) IN ({_listed(names.LABELS)})")
+def label_columns_found(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in names.leak_columns(machines(spark, sf_dir).columns)], "column_name string")
+
+
+@query("SELECT n AS broken_of_100, count(*) FILTER (event_id % 100 >= n) >= 0.95 * count(*) AS has_time FROM events CROSS JOIN (VALUES (2), (8)) t(n) GROUP BY n")
+def time_gate(spark, sf_dir):
+    """A fit takes a column for time if 95 % of its values are times."""
+    rows = []
+    for n in (2, 8):
+        stamp = F.when(F.col("seq") % 100 >= n, F.col("timestamp").cast("string")).otherwise("?")
+        df = telemetry(spark, sf_dir).select(stamp.alias("timestamp"), "machine_id", "seq", "value")
+        settings = Settings(timestamp="timestamp", machine="machine_id", tiebreak=("seq",), lags=(1,), windows=(3,), statistics=("mean",), spans=(3,), periods=(1,), z_windows=(3,))
+        rows.append((n, FeatureEngineer(settings).fit(df).learned.has_time))
+    return spark.createDataFrame(rows, "broken_of_100 int, has_time boolean")
+
+
+@query("SELECT column_name AS feature FROM (DESCRIBE SELECT value, value * 2 AS twice, event_id % 7 AS phase FROM events) WHERE column_type IN ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER')")
+def sequence_inputs(spark, sf_dir):
+    """The columns whose history becomes features: numbers that are neither key, time nor label."""
+    df = telemetry(spark, sf_dir).select("machine_id", "timestamp", "seq", "event_type", "value", (F.col("value") * 2).alias("twice"), (F.col("seq") % 7).alias("phase"), F.lit(0).alias("twf"))
+    model = FeatureEngineer(Settings(timestamp="timestamp", machine="machine_id", tiebreak=("seq",)))
+    return spark.createDataFrame([(c,) for c in model.sequence_sources(df)], "feature string")
+
+
+@query(G + "SELECT uid, " + sql_round(*[f"coalesce({c}, (SELECT median({c}) FROM g)) AS {c}" for c in SENSORS], "process_temperature_k - air_temperature_k AS physical__temperature_gap_k") + " FROM g")
+def fitted_training_rows(spark, sf_dir):
+    """``fit_transform``: raw readings filled with medians, after features were derived."""
+    return r6(FeatureEngineer(Settings()).fit_transform(machines_with_gaps(spark, sf_dir)).select("uid", *SENSORS, "physical__temperature_gap_k"))
+
+
+@query(
+    "SELECT * FROM (SELECT event_id AS seq, lag(value) OVER w AS lag__value__lag_1, " + sql_round("avg(value) OVER f AS rolling__value__mean_3")
+    + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE seq = (SELECT event_id FROM events ORDER BY user_id DESC, ts DESC, event_id DESC LIMIT 1)"
+)
+def observation_by_batch(spark, sf_dir):
+    """One observation after all stored rows, through the batch engine."""
+    df = telemetry(spark, sf_dir).drop("event_type")
+    last = df.agg(F.max(F.struct("machine_id", "timestamp", "seq")).alias("x")).first().x.seq
+    settings = Settings(timestamp="timestamp", machine="machine_id", tiebreak=("seq",), lags=(1,), windows=(3,), statistics=("mean",), spans=(3,), periods=(1,), z_windows=(5,), missing_indicators=False)
+    past = df.where(F.col("seq") != last)
+    return r6(FeatureEngineer(settings).fit(past).online(df.where(F.col("seq") == last), past).select("seq", "lag__value__lag_1", "rolling__value__mean_3"))
+
+
+@query(SPLIT + "SELECT split, count(*) AS n_rows, " + sql_round("max(torque_nm * rotational_speed_rpm) AS most_interaction", "min(process_temperature_k - air_temperature_k) AS least_gap") + " FROM p GROUP BY split")
+def engineered_splits(spark, sf_dir):
+    """Fit on one split and transform three, by the functional interface."""
+    parts = split.stratified(machines(spark, sf_dir), "uid")
+    _, frames = engineer(*[parts.where(F.col("split") == s).drop("split") for s in split.PARTS], settings=Settings(missing_indicators=False))
+    out = None
+    for name, frame in zip(split.PARTS, frames):
+        row = frame.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_rows"), F.max("physical__torque_speed_interaction").alias("most_interaction"), F.min("physical__temperature_gap_k").alias("least_gap"))
+        out = row if out is None else out.union(row)
+    return r6(out)
+
+
+@query("SELECT user_id::VARCHAR AS machine_key, count(*) AS observations, least(count(*), 128)::INTEGER AS held, round(epoch_us(max(ts)) / 1e6, 6) AS last, least(count(value), 128)::INTEGER AS values_held FROM events GROUP BY user_id")
+def machine_states(spark, sf_dir):
+    """What stored rows leave in each machine's state, for a warm start."""
+    s = snapshots.summaries(online.states_after(arrivals(spark, sf_dir), ONLINE))
+    return r6(s.select("machine_key", "observations", "held", "last", F.col("values_held")["value"].alias("values_held")))
+
+
+@query("SELECT count(DISTINCT user_id) AS machines, count(*) AS observations, (SELECT max(least(n, 128)) FROM (SELECT count(*) AS n FROM events GROUP BY user_id))::INTEGER AS largest_history, round(epoch_us(max(ts)) / 1e6, 6) AS last FROM events")
+def engine_state(spark, sf_dir):
+    """An engine that saw the second half after a snapshot of the first, merged, in one row."""
+    rows = arrivals(spark, sf_dir)
+    earlier, whole = online.states_after(rows.where("seq % 2 = 0"), ONLINE), online.states_after(rows, ONLINE)
+    return r6(snapshots.engine_summary(snapshots.merged(earlier, whole)))
+
+
+def _histogram_sql(table: str, x: str) -> str:
+    return f"SELECT least(floor(({x} - lo) * 30 / (hi - lo)), 29)::INTEGER AS bin, count(*) AS n_rows FROM {table}, (SELECT min({x}) AS lo, max({x}) AS hi FROM {table}) GROUP BY bin"
+
+
+@query(M + _histogram_sql("m", "(process_temperature_k - air_temperature_k)"))
+def gap_histogram(spark, sf_dir):
+    return plots.histogram(machines(spark, sf_dir).withColumn("gap", F.col("process_temperature_k") - F.col("air_temperature_k")), "gap")
+
+
+@query(M + _histogram_sql("m", "(torque_nm * rotational_speed_rpm)"))
+def power_histogram(spark, sf_dir):
+    return plots.histogram(machines(spark, sf_dir).withColumn("power", F.col("torque_nm") * F.col("rotational_speed_rpm")), "power")
+
+
+@query(G + " UNION ALL ".join(f"SELECT '{c}' AS feature, bin, n_rows FROM (" + _histogram_sql(f"(SELECT {c} FROM g WHERE {c} IS NOT NULL)", c) + ")" for c in SENSORS))
+def histogram_grid(spark, sf_dir):
+    """Histograms of all sensors in one plan."""
+    return plots.histograms(machines_with_gaps(spark, sf_dir), SENSORS).select("feature", "bin", "n_rows")
+
+
+@query(G + "SELECT column_name AS feature, missing FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing FROM g" for c in SENSORS) + ") ORDER BY missing DESC, feature LIMIT 3")
+def most_missing(spark, sf_dir):
+    """The quality overview's bars: the columns that miss most."""
+    table = validation.missing_summary(machines_with_gaps(spark, sf_dir).select(*SENSORS)).withColumnRenamed("column_name", "feature")
+    return plots.top_rows(table, "missing", 3).select("feature", "missing")
+
+
+@query(G + "SELECT feature, " + ", ".join(f"c{i}" for i in range(len(SENSORS))) + " FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature, " + sql_round(*[f"CASE WHEN '{a}' = '{b}' THEN 1 ELSE corr({a}, {b}) END AS c{i}" for i, b in enumerate(SENSORS)]) + " FROM g" for a in SENSORS) + ")")
+def correlation_heatmap(spark, sf_dir):
+    df = machines_with_gaps(spark, sf_dir)
+    matrix = quality.correlation_matrix(quality.correlation_pairs(df, SENSORS), SENSORS)
+    return r6(matrix.select("feature", *[F.get("correlations", i).alias(f"c{i}") for i in range(len(SENSORS))]))
+
+
+@query(
+    G + f"SELECT 'fixed' AS feature, 'REMOVE_CONSTANT' AS recommendation, 'it has one value only' AS reason FROM g HAVING count(*) > 0 UNION ALL "
+    "SELECT 'sparse', CASE WHEN count(*) FILTER (torque_nm < 20) < 0.7 * count(*) THEN 'IMPUTE' ELSE 'KEEP' END, CASE WHEN count(*) FILTER (torque_nm < 20) < 0.7 * count(*) THEN 'many values are missing' ELSE 'nothing stands out' END FROM g UNION ALL "
+    "SELECT 'machine_failure_copy', CASE WHEN count(*) FILTER (machine_failure IS NOT NULL) = count(*) THEN 'REVIEW_LEAKAGE' END, 'it may give the target away' FROM g"
+)
+def recommendation_reasons(spark, sf_dir):
+    table = quality.audit(_audited(spark, sf_dir), "machine_failure", ["uid"])["recommendations"]
+    return table.where(F.col("feature").isin("fixed", "sparse", "machine_failure_copy"))
