@@ -194,7 +194,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def own_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__own``: the doc_id, but where an id has several texts a hash of both, over 2 ** 62."""
+    own = F.col("doc_id").cast("long")
+    texts = docs.select(own.alias("__shared"), F.xxhash64("text").alias("k")).where("__shared IS NOT NULL")
+    shared = cut(texts.groupBy("__shared").agg((F.min("k") < F.max("k")).alias("several")).where("several").select("__shared"), "shared-ids")
+    marked = docs.join(bounded_broadcast(shared, MAX_BROADCAST_MEMBERS), own == F.col("__shared"), "left")
+    hashed = F.shiftrightunsigned(F.xxhash64("__shared", F.coalesce("text", F.lit("")), F.col("text").isNull()), 2) + F.lit(1 << 62)
+    return marked.withColumn("__own", F.when(F.col("__shared").isNull(), own).otherwise(hashed)).drop("__shared")
+
+
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: all but the documents that a smaller doc_id stands for."""
-    out = cut(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(out, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    """The rows of ``docs`` that stay: all but the documents that a smaller doc_id stands for. Rows that share
+    an id but not a text are documents of their own, after all others in the order of ids."""
+    own = own_ids(docs)
+    judged = near_duplicates(own.select(F.col("__own").alias("doc_id"), "text"), k, percent)
+    out = cut(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return own.join(out, F.col("__own") == F.col("__gone"), "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -73,6 +73,15 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 1, 1, 3], key=str)
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Each text stays once, whatever ids its copies share with other texts."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "wvu")
+    rows = [(1, one), (2, one + " end"), (2, two), (2, None), (3, two), (4, three), (4, three)]
+    kept = [tuple(r) for r in minhash.deduplicate(spark.createDataFrame(rows, "doc_id int, text string")).collect()]
+    texts = [t for _, t in kept]
+    assert sum(t is not None and t.startswith("w0") for t in texts) == texts.count(two) == 1 and texts.count(three) == 2 and (2, None) in kept and len(kept) == 5
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

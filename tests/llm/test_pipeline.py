@@ -54,3 +54,32 @@ def test_stages(spark):
 
     assert Counter(r["doc_id"] for r in coded) == copies
     assert all(r["decoded_equal"] and r["n_tokens"] == len(r["ids"]) for r in coded)
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls, repeats, ties, a long text, clashing names, and empty tables, through all stages."""
+    say = lambda seed, n: " ".join(f"w{seed}x{i}" for i in range(n))
+    texts = [(1, say(1, 80)), (2, say(1, 80)), (2, say(2, 90)), (None, say(3, 70)), (4, None), (5, ""), (6, "short"), (7, say(4, 60)), (7, say(4, 60)), (8, say(5, 40_000))]
+    rows = [(i, t, None if i == 7 else "s", "x", b"y", 3.0, 1) for i, t in texts]
+    schema = "doc_id long, text string, source string, text_key string, ids binary, score double, kept int"
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, table in (("some", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        folder = str(tmp_path / name)
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs, seen = table, {}
+        for stage, function in corpus_pipeline.STAGES:
+            docs = cut(function(spark, docs, folder), stage)
+            seen[stage] = docs
+            assert stage == "bpe_encode" or docs.columns == table.columns
+        assert docs.columns == ["doc_id", "source", "ids", "n_tokens", "decoded_equal"]
+        if name == "none":
+            assert all(d.isEmpty() for d in seen.values())
+            continue
+        key = lambda d: sorted((str(r.doc_id), r.text) for r in d.collect())
+        assert key(seen["quality_rules"]) == sorted((str(i), t) for i, t in texts if t and len(t) > 100)
+        assert key(seen["minhash_near_dedup"]) == sorted((str(i), t) for i, t in texts if t and len(t) > 100 and (i, t) != (2, texts[0][1]))
+        assert all(r.decoded_equal for r in docs.collect())
+        # Every stage but the first takes nulls and empty texts as well.
+        for stage, function in corpus_pipeline.STAGES[1:]:
+            out = function(spark, table.where("text IS NULL OR length(text) < 10 OR doc_id IS NULL"), folder)
+            assert stage == "mix_sources" or out.where("doc_id IN (4, 5, 6)").count() == 3, stage
