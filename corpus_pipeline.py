@@ -3,6 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows to the session's shared folder and reads them again,
 so that a stage is computed once and a lost executor costs a re-read.
+
+Defined edge cases, at every stage
+  * null, empty and short texts: quality_rules rejects them (under 50 words); the other stages keep them as
+    they are, without shingles, passages, words or ids
+  * a null doc_id: the row is judged by quality_rules, linked with nothing, and draws its copies as the id
+    "null"; repeated rows are rows of their own and all stay or go together, copies of a smaller id go
+  * of rows that share an id but not a text, minhash_near_dedup removes only the copies among them
+  * an empty table, or one without labels: no forest, base rules only; every stage gives an empty table for
+    an empty one, with its columns
+  * columns other than doc_id, text and source are carried, whatever their names; n_chars is renewed if there
+    is one
 """
 
 from __future__ import annotations
@@ -28,7 +39,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 50 words or more that repeat an earlier one."""
     cleaned = substring.remove_repeats(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, ids, n_tokens, decoded_equal``: token ids of the mix, decoded again."""
+    """``doc_id, lang, source`` (those there are), ``ids, n_tokens, decoded_equal``: token ids of the mix,
+    decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe_codec.encode(docs, path, check="decoded_equal")
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_equal")
+    return coded.select("doc_id", *[c for c in ("lang", "source") if c in docs.columns], "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_equal")
 
 
 STAGES = [
