@@ -91,11 +91,12 @@ def load_dataset(spark: SparkSession, path: str | None = None, mode: str = "auto
 
 def prepared(raw: DataFrame, mode: str = "auto", sort: bool = True) -> Loaded:
     """Name, drop empty rows, detect the mode, check; sensors become numbers, and a time series is put in
-    order, which also gives its diagnostics. With a profile."""
-    df = normalized(raw)
+    order, which also gives its diagnostics. With a profile. Only a mode asked for by name needs all columns
+    of the known kind; one that is found may lack some."""
+    df, asked = normalized(raw), mode
     mode = validation.data_mode(df, mode)
     target = TARGET if TARGET in df.columns else None
-    if problems := validation.schema_problems(df, target, ai4i=mode == "ai4i"):
+    if problems := validation.schema_problems(df, target, ai4i=asked == "ai4i"):
         raise ValueError("; ".join(problems))
     df = validation.convert_numeric(df, [c for c in SENSORS if c in df.columns])
     timestamp, machine, diagnostics = validation.timestamp_column(df) if mode == "timeseries" else None, machine_column(df.columns), None

@@ -57,4 +57,5 @@ def test_one_exchange_for_order_and_diagnostics(spark, monkeypatch):
 def test_ai4i_tables_need_all_their_columns(spark):
     df = spark.createDataFrame([(i, "p", "L", 300.0, 310.0, 1500.0, 40.0, float(i), i % 2) for i in range(4)], "uid int, product_id string, type string, air_temperature_k double, process_temperature_k double, rotational_speed_rpm double, torque_nm double, tool_wear_min double, machine_failure int")
     with pytest.raises(ValueError, match="missing column"):
-        loading.prepared(df)
+        loading.prepared(df, "ai4i")
+    assert loading.prepared(df).mode == "ai4i"
