@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefeat.llm.storage import cut, small_batches
-from pulsefeat.llm.wordblocks import ROLES, chunks, mix
+from pulsefeat.llm.wordblocks import BLOCK_BYTES, ROLES, chunks, mix
 
 MODEL_BYTES = 64 << 20
 MOST_CELLS, LEAST_CELLS = 1 << 16, 1 << 12
@@ -234,11 +234,14 @@ def identify(documents: DataFrame, model: Model | None, carry: Sequence[Column]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     names = ["lang_pred", "score", "languages", "proportions"]
 
+    # Texts taken up at a time, so that cells x languages of all of them stay small.
+    most = BLOCK_BYTES * 8 // max(8, len(model.languages) if model else 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text").cast(pa.large_binary())]
-            for lo, hi in chunks(sizes):
+            for lo, hi in chunks(sizes, most):
                 part = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 results = list(zip(*(infer(texts, known) if known else [(UNDETERMINED, 0.0, [], [])] * len(texts))))
