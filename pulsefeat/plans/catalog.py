@@ -479,6 +479,7 @@ PROFILE_SQL = {
     "q1": "round(quantile_cont({c}, 0.25), 6)", "median": "round(quantile_cont({c}, 0.5), 6)", "q3": "round(quantile_cont({c}, 0.75), 6)", "n_unique": "count(DISTINCT {c})",
     "missing": "count(*) - count({c})", "missing_ratio": "round((count(*) - count({c})) / count(*)::DOUBLE, 6)", "unique_ratio": "round(count(DISTINCT {c}) / count({c})::DOUBLE, 6)",
     "iqr": "round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6)", "is_constant": "count(DISTINCT {c}) <= 1", "possible_identifier": "count(DISTINCT {c}) / count({c})::DOUBLE >= 0.98 AND count(DISTINCT {c}) > 10",
+    "top_share": "(SELECT round(max(n) / sum(n), 6) FROM (SELECT count(*) AS n FROM g GROUP BY {c}))", "is_near_constant": "(SELECT max(n) >= 0.995 * sum(n) FROM (SELECT count(*) AS n FROM g GROUP BY {c}))",
 }
 PROFILED = [*SENSORS, "machine_failure"]
 
