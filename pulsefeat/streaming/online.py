@@ -260,8 +260,8 @@ def online_windows(s: str, w: WindowSpec, settings: OnlineSettings) -> dict[str,
 
 def online_changes(s: str, w: WindowSpec, settings: OnlineSettings, timestamp: str = "timestamp") -> dict[str, Column]:
     out: dict[str, Column] = {}
-    at = F.unix_micros(F.col(timestamp).cast("timestamp")) / F.lit(1e6)
+    micros = F.unix_micros(F.col(timestamp).cast("timestamp"))
     for k in settings.lags:
-        seconds = at - F.lag(at, k).over(w)
+        seconds = (micros - F.lag(micros, k).over(w)) / F.lit(1e6)
         out[f"{s}_roc_{k}"] = F.when(seconds > 0, (F.col(s) - F.lag(s, k).over(w)) / seconds)
     return out
