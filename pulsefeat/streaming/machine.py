@@ -41,6 +41,17 @@ class OnlineSettings:
             raise ValueError("the history must hold the longest lag and window")
 
 
+def micros(time: float) -> int:
+    """A time in seconds as whole microseconds, which a double still tells apart (up to the year 2242)."""
+    whole = math.floor(time)
+    return whole * 1_000_000 + round((time - whole) * 1e6)
+
+
+def seconds_between(later: float | None, earlier: float | None) -> float | None:
+    """Exact, where the difference of the doubles is off by some 1e-7."""
+    return None if later is None or earlier is None else (micros(later) - micros(earlier)) / 1e6
+
+
 def history_features(settings: OnlineSettings) -> list[str]:
     """Names of the features that need state, in order."""
     names = ["time_since_previous_observation_seconds", "elapsed_time_since_machine_start_seconds"]
@@ -93,9 +104,11 @@ class MachineState:
         return out
 
     def _features(self, time: float | None, clean: dict[str, float | None], settings: OnlineSettings) -> Iterator[tuple[str, float | None]]:
-        yield "time_since_previous_observation_seconds", max(time - self.last, 0.0) if time is not None and self.last is not None else None
-        start = self.times[0] if self.times else None
-        yield "elapsed_time_since_machine_start_seconds", max(time - start, 0.0) if time is not None and start is not None else None
+        since_last = seconds_between(time, self.last)
+        yield "time_since_previous_observation_seconds", None if since_last is None else max(since_last, 0.0)
+        since_start = seconds_between(time, self.times[0] if self.times else None)
+        yield "elapsed_time_since_machine_start_seconds", None if since_start is None else max(since_start, 0.0)
+        since = {k: seconds_between(time, self.times[-k]) for k in settings.lags if len(self.times) >= k}
         for s, x in clean.items():
             past = self.values.get(s, [])
             finite = list(islice((v for v in reversed(past) if v is not None), max(settings.windows)))[::-1]
@@ -122,10 +135,10 @@ class MachineState:
             for k in settings.lags:
                 change = None
                 if x is not None and len(past) >= k and past[-k] is not None:
-                    then = self.times[-k]
-                    if time is not None and then is not None and time - then > 0:
-                        change = (x - past[-k]) / (time - then)
-                    elif settings.deltas_without_time and (time is None or then is None):
+                    seconds = since[k]
+                    if seconds is not None and seconds > 0:
+                        change = (x - past[-k]) / seconds
+                    elif settings.deltas_without_time and seconds is None:
                         change = x - past[-k]
                 yield f"{s}_roc_{k}", change
 
