@@ -1,8 +1,10 @@
 """Stored rows of online machines in order, long ones cut into chunks that tasks take up on their own.
 
 A machine's state is a bounded history, exponential means, a count and a last time. The history at the
-first row of a chunk is the halo of rows before it; the means are affine maps of what reaches the chunk,
-composed over chunks like count and last time. A reset row, or another machine, cuts all of it. Where late
+first row of a chunk is the halo of rows before it; the means are affine maps of what reaches the halo,
+composed over chunks like count and last time. From there the halo's rows take the means on step by step,
+so that the rounding of the composed maps has faded where the chunk's own rows begin (where values are missing
+all through the halo, it may stay in the last digit). A reset row, or another machine, cuts all of it. Where late
 rows are dropped, these go first: a row is late if an earlier one since the last reset has a later time, a
 running maximum, which is carried from chunk to chunk by windows over a row per chunk.
 """
@@ -45,7 +47,7 @@ def in_chunks(keyed: DataFrame, settings: OnlineSettings, size: int) -> DataFram
         rows = sequence.placed(without_late(rows, size).drop(PLACE), "machine_key", order)
     chunks = sequence.Chunks(rows, "machine_key", size)
     carries = carried_states(chunks, settings).withColumnsRenamed({PART: "__of", "machine_key": "__whose"})
-    first = (F.col(PART) == F.col("__of")) & (F.col(PLACE) % size == 0) & F.col(OWN) & (F.col("machine_key") == F.col("__whose"))
+    first = (F.col(PART) == F.col("__of")) & (F.col(PLACE) + settings.history == F.col(PART) * size) & (F.col("machine_key") == F.col("__whose"))
     joined = chunks.with_halo(settings.history).join(carries, first, "left").drop("__of", "__whose")
     return joined.repartition(PART).sortWithinPartitions(PART, PLACE)
 
@@ -71,7 +73,7 @@ def without_late(rows: DataFrame, size: int) -> DataFrame:
 
 def carried_states(chunks: sequence.Chunks, settings: OnlineSettings) -> DataFrame:
     """``__chunk, machine_key, __carry``: count, last time (NaN: none), then per sensor and span the mean
-    (NaN: none) that reach a chunk's first row if its machine is that of the chunk before."""
+    (NaN: none) that reach the first row of a chunk's halo if its machine is that of the row before."""
     sensors, alpha = settings.sensors, np.array([2 / (n + 1) for n in settings.spans])
     width = 1 + 2 * len(alpha)
 
@@ -124,7 +126,8 @@ def carried_states(chunks: sequence.Chunks, settings: OnlineSettings) -> DataFra
             part = pa.array([n + 1 for n in batch.column(PART).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([part, batch.column("machine_key"), pa.array(out, pa.list_(pa.float64()))], names=[PART, "machine_key", CARRY])
 
-    rows = chunks.rows.withColumn(PART, chunks.number()).select(PART, PLACE, "machine_key", "at", "reset", *sensors)
+    upto_halo = F.floor((F.col(PLACE) + settings.history) / chunks.size)
+    rows = chunks.rows.withColumn(PART, upto_halo).select(PART, PLACE, "machine_key", "at", "reset", *sensors)
     maps = rows.repartition(PART).sortWithinPartitions(PART, PLACE).mapInArrow(summaries, f"{PART} long, machine_key string, whole boolean, state array<double>")
     return maps.repartition("machine_key").sortWithinPartitions("machine_key", PART).mapInArrow(scan, f"{PART} long, machine_key string, {CARRY} array<double>")
 
@@ -152,20 +155,18 @@ class Follower:
                 if done is not None and (key != self.key or part != self.part):
                     done += self.state_now()
                 self.key, self.part, self.state, self.fresh = key, part, MachineState(), True
-            if own and not own[i]:
-                self.state.times.append(at)
-                for s, v in zip(sensors, readings):
-                    self.state.values.setdefault(s, []).append(v if v is not None and math.isfinite(v) else None)
-                continue
             if carry and carry[i] is not None and not reset:
                 self.take_over(carry[i])
+            if own and not own[i]:
+                self.state.absorb(at, dict(zip(sensors, readings)), settings)
+                continue
             self.fresh = False
             features = self.state.observe(at, dict(zip(sensors, readings)), settings)
             if features is not None:
                 yield i, key, number, features
 
     def take_over(self, carry: list[float]) -> None:
-        """What the halo doesn't tell of the state that reaches a chunk."""
+        """What a halo doesn't tell of the state that reaches its first row."""
         self.state.count = int(carry[0])
         self.state.last = None if math.isnan(carry[1]) else carry[1]
         names = [f"{s}|{n}" for s in self.settings.sensors for n in self.settings.spans]

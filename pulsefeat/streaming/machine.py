@@ -87,21 +87,35 @@ class MachineState:
         """Features of an observation, which then joins the history; None if it is late and dropped."""
         if settings.late == "drop" and time is not None and self.last is not None and time < self.last:
             return None
-        clean = {s: v if (v := reading.get(s)) is not None and math.isfinite(v) else None for s in settings.sensors}
+        clean = self.cleaned(reading, settings)
         out = dict(self._features(time, clean, settings))
+        self._join(time, clean, settings, {f"{s}|{n}": out[f"{s}_ewm_{n}"] for s, v in clean.items() if v is not None for n in settings.spans})
+        return out
+
+    def absorb(self, time: float | None, reading: dict[str, float | None], settings: OnlineSettings) -> None:
+        """An observation joins the history, by the same steps but without its features."""
+        clean = self.cleaned(reading, settings)
+        self._join(time, clean, settings, {f"{s}|{n}": self._mean_with(s, n, v) for s, v in clean.items() if v is not None for n in settings.spans})
+
+    @staticmethod
+    def cleaned(reading: dict[str, float | None], settings: OnlineSettings) -> dict[str, float | None]:
+        return {s: v if (v := reading.get(s)) is not None and math.isfinite(v) else None for s in settings.sensors}
+
+    def _mean_with(self, s: str, n: int, x: float) -> float:
+        before, alpha = self.means.get(f"{s}|{n}"), 2 / (n + 1)
+        return x if before is None else alpha * x + (1 - alpha) * before
+
+    def _join(self, time: float | None, clean: dict[str, float | None], settings: OnlineSettings, means: dict[str, float]) -> None:
         self.times.append(time)
         del self.times[: -settings.history]
         for s, v in clean.items():
             past = self.values.setdefault(s, [])
             past.append(v)
             del past[: -settings.history]
-            for n in settings.spans:
-                if v is not None:
-                    self.means[f"{s}|{n}"] = out[f"{s}_ewm_{n}"]
+        self.means.update(means)
         self.count += 1
         if time is not None:
             self.last = time
-        return out
 
     def _features(self, time: float | None, clean: dict[str, float | None], settings: OnlineSettings) -> Iterator[tuple[str, float | None]]:
         since_last = seconds_between(time, self.last)
@@ -130,8 +144,7 @@ class MachineState:
                 yield f"{s}_rolling_{w}_zscore", z
                 yield f"{s}_rolling_{w}_anomaly_score", None if z is None else abs(z)
             for n in settings.spans:
-                before, alpha = self.means.get(f"{s}|{n}"), 2 / (n + 1)
-                yield f"{s}_ewm_{n}", None if x is None else x if before is None else alpha * x + (1 - alpha) * before
+                yield f"{s}_ewm_{n}", None if x is None else self._mean_with(s, n, x)
             for k in settings.lags:
                 change = None
                 if x is not None and len(past) >= k and past[-k] is not None:
