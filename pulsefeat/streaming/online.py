@@ -19,7 +19,6 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from pulsefeat.functions.names import LABELS
 from pulsefeat.functions.safe import clamped_log1p, finite, flag, machine_key, safe_ratio, safe_sqrt
-from pulsefeat.operators.families import median_of
 from pulsefeat.streaming import chunks
 from pulsefeat.streaming.machine import MachineState, OnlineSettings, history_features
 
@@ -245,15 +244,40 @@ def _deviation(values: Column, mean: Column) -> Column:
     return F.when(F.size(values) > 1, F.sqrt(squares / F.nullif(F.size(values) - 1, F.lit(0))))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _moments(values: Column, x: Column, settings: OnlineSettings) -> Column:
+    """``mean, std, zscore`` by an array. A column that is merely repeated is computed again for every element
+    of a lambda and in every branch, so all that depends on mean and deviation is inside."""
+
+    def parts(v: Column, mean: Column, std: Column) -> Column:
+        enough = F.size(v) >= settings.least_values
+        z = F.when((F.size(v) >= settings.least_for_z) & (std > settings.epsilon), (x - mean) / std)
+        return F.struct(F.when(enough, mean).alias("mean"), F.when(enough, std).alias("std"), z.alias("zscore"))
+
+    return _bound(values, lambda v: _bound(_mean(v), lambda m: _bound(_deviation(v, m), lambda d: parts(v, m, d))))
+
+
+def _extremes(values: Column, settings: OnlineSettings) -> Column:
+    """``min, max, median`` by an array, sorted once."""
+
+    def parts(o: Column) -> Column:
+        enough = F.size(o) >= settings.least_values
+        middle = (F.get(o, F.floor((F.size(o) - 1) / 2).cast("int")) + F.get(o, F.floor(F.size(o) / 2).cast("int"))) / 2
+        return F.struct(F.when(enough, F.get(o, F.lit(0))).alias("min"), F.when(enough, F.get(o, F.size(o) - 1)).alias("max"), F.when(enough, middle).alias("median"))
+
+    return _bound(F.sort_array(values), parts)
+
+
 def online_windows(s: str, w: WindowSpec, settings: OnlineSettings) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for n in settings.windows:
         values = past_values(s, w, settings, n)
-        enough = F.size(values) >= settings.least_values
-        mean = _mean(values)
-        std = _deviation(values, mean)
-        z = F.when((F.size(values) >= settings.least_for_z) & (std > settings.epsilon), (F.col(s) - mean) / std)
-        parts = {"mean": F.when(enough, mean), "std": F.when(enough, std), "min": F.when(enough, F.array_min(values)), "max": F.when(enough, F.array_max(values)), "median": F.when(enough, median_of(values)), "zscore": z, "anomaly_score": F.abs(z)}
+        moments, extremes = _moments(values, F.col(s), settings), _extremes(values, settings)
+        parts = {k: moments[k] for k in ("mean", "std")} | {k: extremes[k] for k in ("min", "max", "median")} | {"zscore": moments["zscore"], "anomaly_score": F.abs(moments["zscore"])}
         out |= {f"{s}_rolling_{n}_{k}": c for k, c in parts.items()}
     return out
 
