@@ -9,7 +9,8 @@ machine keeps every task busy and gives the rows that one window would give.
 Exponential means have no bounded frame, but a step is an affine map of the mean so far, y -> a y + b. Maps
 compose, so a batch of rows is scanned in log2(rows) vector steps, whatever machines and gaps it holds, and
 a chunk's rows are one map: the maps of a machine's chunks are composed in order, a row per chunk, and every
-chunk starts from the mean that reaches it.
+chunk starts from the mean that reaches it. A chunk costs some calls of NumPy, so means take as many neighbouring
+chunks as give MEANS rows for one.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pulsefeat.sources.shared import written
 
 LONGEST = 1 << 20
 CHUNK = 1 << 15
+MEANS = 1 << 12  # rows of a chunk for exponential means, or more
 PLACE, PART, OWN, CARRY = "__place", "__chunk", "__own", "__carry"
 ROW_BITS = 33  # of monotonically_increasing_id, below the partition number
 
@@ -291,13 +293,14 @@ def carried_means(chunks: Chunks, sensors: Sequence[str], spans: Sequence[int])
 
 def means_in_chunks(df: DataFrame, chunks: Chunks, sensors: Sequence[str], spans: Sequence[int]) -> DataFrame:
     """``df``: rows of ``chunks`` with halos and maybe more columns; returns own rows with the means."""
-    machine, size = chunks.machine, chunks.size
+    machine, size = chunks.machine, chunks.size * -(-MEANS // chunks.size)
+    chunks = Chunks(chunks.rows, machine, size)
     carries = carried_means(chunks, sensors, spans).withColumnRenamed(PART, "__of")
     on = (F.col(PART) == F.col("__of")) & (F.col(PLACE) % size == 0)
     if machine:
         carries = carries.withColumnRenamed(machine, "__whose")
         on &= F.col(machine).eqNullSafe(F.col("__whose"))
-    joined = df.where(OWN).join(carries, on, "left").drop("__of", "__whose")
+    joined = df.where(OWN).withColumn(PART, chunks.number()).join(carries, on, "left").drop("__of", "__whose")
     ordered = joined.repartition(PART).sortWithinPartitions(PART, PLACE)
     return scanned_means(ordered, [PART, *([machine] if machine else [])], sensors, spans, carry=True)
 

@@ -93,3 +93,18 @@ def test_engineer_over_chunks_equals_engineer(spark):
     assert frames[0].columns == frames[1].columns
     for r, s in zip(*(f.collect() for f in frames)):
         assert all(v == w or math.isclose(v, w, rel_tol=1e-9) for v, w in zip(r, s))
+
+
+def test_means_take_many_small_chunks_for_one(spark, monkeypatch):
+    """Means of chunks of 32 rows were scanned chunk by chunk; whatever their chunks, they are those of one sequence."""
+    df = spark.range(700).selectExpr("id AS i", "CAST(id % 3 AS STRING) AS machine", "IF(id % 5 = 0, NULL, CAST(hash(id) % 1000 AS DOUBLE)) AS x")
+    past = lambda w: fam.lag("x", w, (1,))
+    whole, _ = fam.with_history(df, "machine", "i", (), past, 1, ["x"], (2, 30), chunk_rows=0)
+    expected, sizes, carried = whole.orderBy("i").collect(), [], sequence.carried_means
+    monkeypatch.setattr(sequence, "carried_means", lambda chunks, *more: sizes.append(chunks.size) or carried(chunks, *more))
+    for rows in (sequence.MEANS, 64, 1):
+        monkeypatch.setattr(sequence, "MEANS", rows)
+        got = fam.with_history(df, "machine", "i", (), past, 1, ["x"], (2, 30), chunk_rows=32)[0].orderBy("i").collect()
+        for one, other in zip(expected, got, strict=True):
+            assert [v if v is None else round(v, 9) for v in one[2:]] == [v if v is None else round(v, 9) for v in other[2:]]
+    assert sizes == [4096, 64, 32]
