@@ -84,3 +84,23 @@ def test_one_key_may_hold_most_of_a_class(spark, monkeypatch):
     df = spark.range(300).selectExpr("IF(id < 250, 7L, id) AS k", "1 AS y")
     parts = {(r.k, r.split) for r in split.stratified(df, "k", "y").collect()}
     assert len(parts) == len({k for k, _ in parts}) and {s for _, s in parts} >= {"train"}
+
+
+def test_summary_counts_equal_columns(spark, tmp_path):
+    """The pairs that the audit finds were left out of its summary, in the SQL too: 0 whatever the table."""
+    import duckdb
+
+    from pulsefeat.plans.catalog import ORACLES, QUERIES
+
+    rows = spark.range(200).selectExpr(
+        "id AS l_orderkey", "1L AS l_linenumber", "20 + id % 20 AS l_partkey", "id AS l_suppkey", "CAST(20 + id % 20 AS DOUBLE) AS l_quantity", "CAST(id * 7 AS DOUBLE) AS l_extendedprice",
+        "(id % 11) / 100 AS l_discount", "(id % 9) / 100 AS l_tax", "IF(id % 2 = 0, 'N', 'R') AS l_returnflag", "IF(id % 3 = 0, 'F', 'O') AS l_linestatus",
+    )
+    for partkey, pairs in (("l_partkey", 1), ("l_partkey + id", 0)):
+        folder = f"{tmp_path}/{pairs}"
+        rows.withColumn("id", rows.l_orderkey % 3).withColumn("l_partkey", F.expr(partkey)).drop("id").write.parquet(f"{folder}/lineitem.parquet")
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+        got, want = ({m: v for m, v in found} for found in (QUERIES["quality_summary"](spark, folder).collect(), c.execute(ORACLES["quality_summary"]).fetchall()))
+        assert got["duplicate_pairs"] == want["duplicate_pairs"] == pairs
+        assert got.keys() == want.keys() and got["missing_cells"] == want["missing_cells"]
